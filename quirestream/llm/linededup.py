@@ -46,10 +46,11 @@ def _blank(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float, min_pages: int) -> DataFrame:
-    """One row per host that has boilerplate: ``host`` and the hashes of its lines."""
+    """One row per host that has boilerplate: ``host`` and the hashes of its lines.
+    (``explode_outer``: for ``explode`` Spark would compute the keys twice, to filter by them.)"""
     lines = pages.select(host.alias("host"), F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: ~_blank(x)), _key)).alias("keys"))
     totals = lines.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = lines.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    counts = lines.select("host", F.explode_outer("keys").alias("key")).where("key is not null").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     return counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("__drop"))
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirestream.llm import decontam, jaccard, langid, linededup, mixing, pii
+from quirestream.llm import decontam, jaccard, langid, linededup, mixing, pii, toxicity
+from quirestream.llm.staging import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,10 +89,17 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", "pii.base_sha256", "pii.spans")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), where=~is_fold(5, 0))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", is_fold(5, 0).alias("held_out"), "score", "predicted", F.to_json("evidence").alias("evidence"))
+
+
 def op10_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``pages``: visible lines, less those on more than a fifth of the host's pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    lines = pages.select("page_id", linededup.host_of(F.col("url")).alias("host"), linededup.html_lines(F.col("html")).alias("text"))
+    lines = stage(pages.select("page_id", linededup.host_of(F.col("url")).alias("host"), linededup.html_lines(F.col("html")).alias("text")), "lines")
     found = linededup.drop_boilerplate(lines, host=F.col("host"), text=F.col("text"))
     return found.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
@@ -117,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_personal_data": op5_personal_data,
+        "op8_toxicity": op8_toxicity,
         "op10_boilerplate_lines": op10_boilerplate_lines,
     }
 
