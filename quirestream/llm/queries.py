@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirestream.llm import decontam, jaccard, langid, linededup, mixing, pii, toxicity
+from quirestream.llm import decontam, jaccard, langid, linededup, mixing, neighbours, pii, toxicity
 from quirestream.llm.staging import stage
 
 
@@ -89,6 +89,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", "pii.base_sha256", "pii.spans")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), where=~is_fold(5, 0))
@@ -125,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_personal_data": op5_personal_data,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_toxicity": op8_toxicity,
         "op10_boilerplate_lines": op10_boilerplate_lines,
     }
