@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirestream.llm import decontam, jaccard, langid, linededup, mixing, neighbours, pii, toxicity
+from quirestream.llm import decontam, jaccard, langid, linededup, mixing, neighbours, pii, pyp_lm, toxicity
 from quirestream.llm.staging import stage
 
 
@@ -100,6 +100,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_fold(5, 0).alias("held_out"), "score", "predicted", F.to_json("evidence").alias("evidence"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = pyp_lm.train(docs, where=~is_fold(5, 1))
+    found = pyp_lm.score(docs, model, counts)
+    return found.select("doc_id", is_fold(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``pages``: visible lines, less those on more than a fifth of the host's pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -131,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_personal_data": op5_personal_data,
         "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_toxicity": op8_toxicity,
+        "op9_language_model": op9_language_model,
         "op10_boilerplate_lines": op10_boilerplate_lines,
     }
 
