@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirestream.llm import decontam, jaccard, langid, linededup, mixing, neighbours, pii, pyp_lm, toxicity
+from quirestream.llm import decontam, jaccard, langid, linededup, mixing, neighbours, pii, pyp_lm, repeats, toxicity
 from quirestream.llm.staging import stage
 
 
@@ -89,6 +89,12 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone", "pii.base_sha256", "pii.spans")
 
 
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -136,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_personal_data": op5_personal_data,
+        "op6_repeated_substrings": op6_repeated_substrings,
         "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_toxicity": op8_toxicity,
         "op9_language_model": op9_language_model,
