@@ -11,10 +11,10 @@ at least ``sim`` percent of the union. The result is exact but for 64-bit hashes
    order and makes no bundle.
 3. Inside a bundle, a signature tree: leaves hold a bitmap of their shingles and their
    size, inner nodes the OR of bitmaps, the range of sizes and the most shingles that
-   fell on one bit. The tree is joined with itself from the root; a pair of nodes is cut
-   when the common bits plus those collisions can't reach the overlap that its sizes need,
-   or when its sizes are too far apart. Pairs of leaves that stay are verified on the
-   sets, unless they are connected already.
+   found no free bit. The tree is joined with itself from the root; a pair of nodes is cut
+   when the common bits plus those shingles can't reach the overlap that its sizes need,
+   or when its sizes are too far apart. Only members of pairs of leaves that stay get their
+   sets, and are verified on these, unless they are connected already.
 4. Three rounds keep this small and whole: each set in its largest bundle; then one set
    of each component in every bundle; then all members of the bundles that still hold
    more than one component. Bundles above ``CHUNK`` members are dealt into chunks, in the
@@ -42,7 +42,7 @@ from quirestream.llm.tokens import SPACED, U, grams, mix64, words
 
 K, SIM = 5, 80
 #: Counters of the frequency sketch; members of a bundle that one task joins; ids that are broadcast at most.
-SKETCH, CHUNK, SEND = 1 << 19, 2048, 1_000_000
+SKETCH, CHUNK, SEND = 1 << 22, 2048, 1_000_000
 FANOUT = 8
 
 
@@ -95,36 +95,33 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
     blocks = 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.int32)
         for b in batches:
             for s in _views(b.column(0)):
-                total += np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    np.add.at(total, (s & U(SKETCH - 1)).astype(np.int64), 1)
-        for i, part in enumerate(np.split(total, blocks)):
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.astype(np.uint32).tobytes()], pa.binary())], ["block", "part"])
+                np.add.at(total, (s & U(SKETCH - 1)).astype(np.int64), 1)
+        # a byte a counter: few are above 255 in one task, and what is so frequent is told from noise anyway
+        for i, part in enumerate(np.split(np.minimum(total, 255).astype(np.uint8), blocks)):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], ["block", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for b in batches:
             for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                p = np.frombuffer(p, np.uint32).astype(np.int64) if len(p) < 8 * SKETCH // blocks else np.frombuffer(p, np.int64)
-                found[i] = found[i] + p if i in found else p
+                found[i] = found.get(i, 0) + np.frombuffer(p, np.uint8).astype(np.uint32)
         for i, p in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([p.astype(np.int64).tobytes()], pa.binary())], ["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([p.tobytes()], pa.binary())], ["block", "part"])
 
     sums = sets.select("grams").mapInArrow(count, "block long, part binary").repartition(blocks, "block").mapInArrow(add, "block long, part binary")
     out = np.zeros(SKETCH, np.int64)
-    for r in sums.collect():  # SKETCH counters in all
-        out[r.block * (SKETCH // blocks) : (r.block + 1) * (SKETCH // blocks)] += np.frombuffer(r.part, np.int64)
+    for r in sums.collect():  # SKETCH counters of four bytes in all
+        out[r.block * (SKETCH // blocks) : (r.block + 1) * (SKETCH // blocks)] += np.frombuffer(r.part, np.uint32)
     return out
 
 
 def levels(sketch: np.ndarray) -> np.ndarray:
-    """0 for what the sketch can't tell from its noise, then the logarithm of the excess."""
-    mean = sketch.mean()
-    excess = np.maximum(sketch - mean - 4 * np.sqrt(mean), 0)
-    return np.log2(1 + excess / 8).astype(np.uint8)
+    """The counts as an order from rare to frequent. Any order that is the same for all
+    texts gives the same links; the rarer what comes first, the fewer bundles."""
+    return np.minimum(sketch, 65535).astype(np.uint16)
 
 
 def prefix_length(n: int, sim: int) -> int:
@@ -150,7 +147,7 @@ def _prefixes(sets: DataFrame, level, sim: int) -> DataFrame:
                 seen.add(key)
                 p = prefix_length(len(s), sim)
                 order = lv[(s & U(SKETCH - 1)).astype(np.int64)]
-                head = s[:p] if not order.any() else s[np.argsort(order, kind="stable")[:p]]
+                head = s[np.argsort(order, kind="stable")[:p]]
                 token.append(head)
                 who.append(i)
                 at.append(p)
@@ -179,6 +176,12 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[l
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def _name(ids: np.ndarray) -> int:
+    """A bundle's name, from its members."""
+    name = (int(mix64(ids.astype(U)).sum(dtype=U)) + len(ids) * 0x9E3779B97F4A7C15) % (1 << 64)
+    return name - (1 << 64) if name >> 63 else name
+
+
 def bundles(prefixes: DataFrame, sim: int) -> DataFrame:
     """bundle and id: the sets that share a shingle of their prefixes; same members, one bundle."""
 
@@ -201,10 +204,10 @@ def bundles(prefixes: DataFrame, sim: int) -> DataFrame:
                 if not (by[:-1] + 2 >= by[1:] * (sim / 100) - 2).any():
                     continue
                 who = np.sort(who)
-                name = int(mix64(who.astype(U)).sum(dtype=U)) ^ (len(who) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                name = _name(who)
                 if name not in seen:
                     seen.add(name)
-                    out_b.append(np.full(len(who), np.array([name], U).view(np.int64)[0]))
+                    out_b.append(np.full(len(who), name))
                     out_i.append(who)
             if out_b:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_b)), pa.array(np.concatenate(out_i))], ["bundle", "id"])
@@ -236,57 +239,82 @@ def _linked(a: np.ndarray, b: np.ndarray, sim: int) -> bool:
     return 100 * same >= sim * (len(a) + len(b) - same)
 
 
-def tree_links(sets: list[np.ndarray], labels: np.ndarray, sim: int = SIM, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join two components of the members ``sets`` (labels: components so far).
-    With ``side``, only pairs of different sides count."""
-    m = len(sets)
-    forest = Forest(labels)
-    found: list[tuple[int, int]] = []
-    if len(np.unique(forest.up)) < 2:
-        return found
-    if m == 2:
-        return [(0, 1)] if (side is None or side[0] != side[1]) and _linked(sets[0], sets[1], sim) else found
-    size = np.array([len(s) for s in sets], np.int64)
-    order = np.lexsort((np.array([int(s[0]) for s in sets], U), size))
-    bits = 64
-    while bits < 2 * int(size.max()) and bits < 1 << 15:
-        bits *= 2
-    leaf = np.zeros((m, bits // 64), U)
-    for row, i in enumerate(order.tolist()):
-        slot = np.zeros(bits, bool)
-        slot[(sets[i] & U(bits - 1)).astype(np.int64)] = True
-        leaf[row] = np.packbits(slot, bitorder="little").view(U)
-    small = size[order]
-    spare = small - np.bitwise_count(leaf).sum(axis=1, dtype=np.int64)
+def _buckets(n: int) -> int:
+    """Buckets of the bitmap of a set: a power of two, half its size at least."""
+    return max(16, 1 << (max(n, 1) // 2).bit_length())
+
+
+def loads(s: np.ndarray, buckets: int) -> np.ndarray:
+    """Shingles in each bucket (15 at most)."""
+    return np.minimum(np.bincount((s & U(buckets - 1)).astype(np.int64), minlength=buckets), 15).astype(np.uint8)
+
+
+def packed(load: np.ndarray) -> bytes:
+    """Two buckets a byte: the short form of a bitmap, as it is shuffled."""
+    return (load[::2] | load[1::2] << 4).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    return np.stack([raw & 15, raw >> 4], axis=1).reshape(-1)
+
+
+_UNARY = np.array([(1 << min(c, 8)) - 1 for c in range(16)], np.uint8)
+
+
+def bitmap(load: np.ndarray) -> np.ndarray:
+    """A shingle sets the next free one of its bucket's 8 bits. So the bits that two sets
+    have in common number the least of their loads, and OR is the largest load."""
+    return _UNARY[load].view(U)
+
+
+def tree_pairs(leaf: np.ndarray, size: np.ndarray, sim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members (rows of ``leaf``, their bitmaps) that the signature tree joined
+    with itself can't rule out."""
+    order = np.lexsort((leaf[:, 0], size))
+    bm, small = leaf[order], size[order]
+    spare = small - np.bitwise_count(bm).sum(axis=1, dtype=np.int64)
     # levels of (bitmap, least size, largest size, most collisions), leaves first
-    tree = [(leaf, small, small, spare)]
+    tree = [(bm, small, small, spare)]
     while len(tree[-1][0]) > 1:
         bm, lo, hi, e = tree[-1]
         at = np.arange(0, len(bm), FANOUT)
         tree.append((np.bitwise_or.reduceat(bm, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(e, at)))
     x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    step = np.arange(FANOUT)
     for depth in range(len(tree) - 1, -1, -1):
         bm, lo, hi, e = tree[depth]
-        keep = []
+        keep = [np.zeros((2, 0), np.int64)]
         for c in range(0, len(x), 8192):
             i, j = x[c : c + 8192], y[c : c + 8192]
             ok = 100 * hi[i] >= sim * lo[j]  # rows are ordered by size: i is the smaller side
             i, j = i[ok], j[ok]
             common = np.bitwise_count(bm[i] & bm[j]).sum(axis=1, dtype=np.int64) + np.minimum(e[i], e[j])
-            # the larger set has sim/100 of the smaller's size at least, so this holds for all pairs below
             ok = np.minimum(common, np.minimum(hi[i], hi[j])) >= needed(lo[i] + lo[j], sim)
             keep.append(np.stack([i[ok], j[ok]]))
-        x, y = np.concatenate(keep, axis=1) if keep else (x[:0], y[:0])
+        x, y = np.concatenate(keep, axis=1)
         if depth:
             count = len(tree[depth - 1][0])
-            step = np.arange(FANOUT)
-            cx, cy = (x[:, None, None] * FANOUT + step[None, :, None]), (y[:, None, None] * FANOUT + step[None, None, :])
-            cx, cy = np.broadcast_arrays(cx, cy)
+            cx, cy = np.broadcast_arrays(x[:, None, None] * FANOUT + step[None, :, None], y[:, None, None] * FANOUT + step[None, None, :])
             ok = (cx <= cy) & (cx < count) & (cy < count)
             if depth == 1:
                 ok &= cx < cy
             x, y = cx[ok], cy[ok]
-    a, b = order[x], order[y]
+    return order[x], order[y]
+
+
+def tree_links(sets: list[np.ndarray], labels: np.ndarray, sim: int = SIM, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join two components of the members ``sets`` (labels: components so far).
+    With ``side``, only pairs of different sides count."""
+    forest = Forest(labels)
+    found: list[tuple[int, int]] = []
+    if len(np.unique(forest.up)) < 2:
+        return found
+    if len(sets) == 2:
+        return [(0, 1)] if (side is None or side[0] != side[1]) and _linked(sets[0], sets[1], sim) else found
+    size = np.array([len(s) for s in sets], np.int64)
+    buckets = _buckets(int(size.max()))
+    a, b = tree_pairs(np.stack([bitmap(loads(s, buckets)) for s in sets]), size, sim)
     if side is not None:
         ok = side[a] != side[b]
         a, b = a[ok], b[ok]
@@ -302,39 +330,90 @@ def tree_links(sets: list[np.ndarray], labels: np.ndarray, sim: int = SIM, side:
     return found
 
 
-def _links(rows: DataFrame, sets: DataFrame, sim: int) -> DataFrame:
-    """Edges a, b among the rows bundle, id, label, side (sides differ or are all 0)."""
-    spark = rows.sparkSession
-    ids = stage(rows.select("id").distinct(), "ids")
-    wanted = sets.where("n > 0").select("id", "grams")
-    if ids.count() <= SEND:
-        wanted = wanted.join(F.broadcast(ids), "id", "left_semi")
-    wanted = wanted.dropDuplicates(["id"])
-    full = rows.join(wanted, "id").select("bundle", "id", "label", "side", "grams")
+def _fold(load: np.ndarray, buckets: int) -> np.ndarray:
+    return np.minimum(load.reshape(-1, buckets).sum(axis=0, dtype=np.int64), 15).astype(np.uint8) if len(load) > buckets else load
+
+
+def possible(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, sim: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Which members of a bundle have a possible partner of another label. Linked sizes
+    are so near that their bitmaps are equally long, or one is twice the other's and folds."""
+    out = np.zeros(len(sizes), bool)
+    length = np.array([len(m) for m in maps])
+    for n in np.unique(length).tolist():
+        who = np.flatnonzero((length == n) | (length == 2 * n))
+        if len(who) < 2:
+            continue
+        a, b = tree_pairs(np.stack([bitmap(_fold(maps[i], n)) for i in who]), sizes[who], sim)
+        a, b = who[a], who[b]
+        ok = labels[a] != labels[b]
+        if side is not None:
+            ok &= side[a] != side[b]
+        out[a[ok]] = True
+        out[b[ok]] = True
+    return out
+
+
+def signatures(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n and the short form of the bitmap of the sets in ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            maps = [packed(loads(s, _buckets(len(s)))) for s in _views(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(maps, pa.binary())], ["id", "n", "bits"])
+
+    return _only(sets.where("n > 0").select("id", "n", "grams"), ids).mapInArrow(run, "id long, n long, bits binary").dropDuplicates(["id"])
+
+
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is in ``ids``; these are sent to all tasks up to ``SEND`` of them."""
+    return sets.join(F.broadcast(ids) if ids.count() <= SEND else ids, "id", "left_semi")
 
-    def solve(name: int, ids_: list[int], labels: list[int], sides: list[int], data: list[bytes]) -> list[tuple[int, int]]:
-        side = np.array(sides)
-        return [(ids_[i], ids_[j]) for i, j in tree_links([np.frombuffer(d, U) for d in data], np.array(labels), sim, side if len(set(sides)) > 1 else None)]
+
+def _by_bundle(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve(columns)`` for each bundle; it returns rows. The first column is the bundle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, ([], [], [], [])
-        out: list[tuple[int, int]] = []
+        name, held = None, []
+        out: list[tuple] = []
+        names = [x.split()[0] for x in schema.split(", ")]
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[0] != name:
-                    if len(held[0]) > 1:
-                        out += solve(name, *held)
-                    name, held = row[0], ([], [], [], [])
-                for h, v in zip(held, row[1:], strict=True):
-                    h.append(v)
+                    if len(held) > 1:
+                        out += solve(*map(list, zip(*held, strict=True)))
+                    name, held = row[0], []
+                held.append(row)
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([x for _, x in out])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
                 out = []
-        if len(held[0]) > 1:
-            out += solve(name, *held)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+        if len(held) > 1:
+            out += solve(*map(list, zip(*held, strict=True)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
+
+    return rows.repartition(parts(rows.sparkSession), "bundle").sortWithinPartitions("bundle").mapInArrow(run, schema)
+
+
+def _links(rows: DataFrame, sets: DataFrame, signs: DataFrame, sim: int) -> DataFrame:
+    """Edges a, b among the rows bundle, id, label, side (sides differ or are all 0). Bitmaps
+    go to the bundles first; sets only follow for members with a possible partner."""
+
+    def cut(bundle: list, ids: list, labels: list, sides: list, n: list, bits: list) -> list[tuple]:
+        side = np.array(sides) if len(set(sides)) > 1 else None
+        ok = possible(np.array(n), [unpacked(x) for x in bits], np.array(labels), sim, side)
+        left = np.flatnonzero(ok).tolist()
+        # what is left of several bundles is often the same: it is then one bundle
+        name = _name(np.sort(np.array([ids[i] for i in left], np.int64))) if left else 0
+        return [(name, ids[i], labels[i], sides[i]) for i in left]
+
+    def solve(bundle: list, ids: list, labels: list, sides: list, data: list) -> list[tuple]:
+        side = np.array(sides) if len(set(sides)) > 1 else None
+        return [(ids[i], ids[j]) for i, j in tree_links([np.frombuffer(d, U) for d in data], np.array(labels), sim, side)]
 
-    return full.repartition(parts(spark), "bundle").sortWithinPartitions("bundle").mapInArrow(run, "a long, b long")
+    left = _by_bundle(rows.join(signs, "id").select("bundle", "id", "label", "side", "n", "bits"), cut, "bundle long, id long, label long, side long")
+    left = stage(left.distinct(), "possible")
+    wanted = _only(sets.where("n > 0").select("id", "grams"), stage(left.select("id").distinct(), "ids")).dropDuplicates(["id"])
+    return _by_bundle(left.join(wanted, "id").select("bundle", "id", "label", "side", "grams"), solve, "a long, b long")
 
 
 def _chunked(rows: DataFrame, all_pairs: bool) -> DataFrame:
@@ -364,17 +443,18 @@ def similar_sets(sets: DataFrame, sim: int = SIM) -> DataFrame:
     spark = sets.sparkSession
     level = spark.sparkContext.broadcast(levels(frequency_sketch(sets)))
     rows = stage(bundles(_prefixes(sets, level, sim), sim), "bundles")
+    signs = stage(signatures(sets, stage(rows.select("id").distinct(), "ids")), "signatures")
     sized = rows.groupBy("bundle").agg(F.count(F.lit(1)).alias("c"))
     largest = rows.join(sized, "bundle").groupBy("id").agg(F.max(F.struct("c", "bundle")).alias("m")).select("m.bundle", "id")
-    edges = stage(_links(_chunked(_labelled(largest, None), False), sets, sim), "links1")
+    edges = stage(_links(_chunked(_labelled(largest, None), False), sets, signs, sim), "links1")
     left = stage(_labelled(rows, edges), "mixed")
     if not left.isEmpty():
         one = left.groupBy("bundle", "label").agg(F.min("id").alias("id"))
-        more = stage(_links(_chunked(one, False), sets, sim), "links2")
+        more = stage(_links(_chunked(one, False), sets, signs, sim), "links2")
         edges = edges.unionByName(more)
         left = stage(_labelled(left, edges), "mixed")
     if not left.isEmpty():
-        more = stage(_links(_chunked(left, True), sets, sim), "links3")
+        more = stage(_links(_chunked(left, True), sets, signs, sim), "links3")
         edges = edges.unionByName(more)
     return edges
 
