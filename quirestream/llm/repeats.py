@@ -326,14 +326,18 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     groups = _settled(contexts).select("row", "start", "end")
     found = groups if found is None else found.unionByName(groups)
     sizes = single.select("row", "n")
-    whole = meet.where("kind = 0").select("row", F.col("pos").cast("long").alias("pos")).distinct().join(sizes, "row")
-    whole = whole.select("row", F.greatest(F.col("pos") - LEFT, F.lit(0)).alias("start"), F.least(F.col("pos") + SPAN, F.col("n")).alias("end")).where(f"end - start >= {SPAN}")
+    # by row from here on: lists of positions, so that each joins where it is
+    whole = meet.where("kind = 0").groupBy("row").agg(F.collect_list(F.col("pos").cast("long")).alias("at")).join(sizes, "row")
+    wide = lambda p: F.struct(F.greatest(p - LEFT, F.lit(0).cast("long")).alias("start"), F.least(p + SPAN, F.col("n")).alias("end"))
+    whole = whole.select("row", F.filter(F.transform("at", wide), lambda s: s["end"] - s["start"] >= SPAN).alias("whole"))
+    parted = found.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("part"))
 
     @F.pandas_udf("array<struct<start:long,end:long>>")
     def merge(spans: pd.Series) -> pd.Series:
         return spans.map(lambda s: [{"start": a, "end": z} for a, z in _merged([(x["start"], x["end"]) for x in s])])
 
-    covered = found.unionByName(whole).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("s")).select("row", merge("s").alias("spans"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    covered = whole.join(parted, "row", "full").select("row", merge(F.concat(F.coalesce("whole", none), F.coalesce("part", none))).alias("spans")).where(F.size("spans") > 0)
     covered = stage(covered.join(single.where("copies = 1"), "row").select("id", "sha", "spans"), "covered")
 
     @F.pandas_udf("string")
@@ -351,7 +355,6 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kept = _texts(docs, id_col, text_col, covered).select("sha", "spans", digest("t", "spans").alias("kept_sha256"))
     all_ = single.where(f"copies > 1 and n >= {SPAN}").select("sha", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
     result = stage(kept.unionByName(all_).dropDuplicates(["sha"]), "kept")
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     out = scan.select("id", "n", "sha").join(result, "sha", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), F.coalesce("spans", none).alias("spans"), F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"))
 
