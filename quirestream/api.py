@@ -32,7 +32,9 @@ def convert(spark: SparkSession, source: bytes | str, config: Config = DEFAULT,
         files = spark.createDataFrame([(filename, bytearray(source))], "path string, content binary")
     else:
         files = spark.read.format("binaryFile").load(source)
-    row = convert_files(files, config).first()
+    suffix = os.path.splitext(filename or str(source))[1].lower()
+    kind = {".txt": "text", ".md": "markdown", ".htm": "html", ".tsv": "csv"}.get(suffix, suffix[1:])
+    row = convert_files(files, config, formats=(kind,)).first()
     if row.error_code:
         raise ConversionError(row.error_code)
     return row.markdown

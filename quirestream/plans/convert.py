@@ -47,10 +47,11 @@ def _read(files: DataFrame, kind: str, config: Config) -> DataFrame:
     return out.withColumn("read_error", F.col("__p.error")).drop("__p")
 
 
-def convert(files: DataFrame, config: Config = DEFAULT, *, path: str = "path", content: str = "content") -> DataFrame:
+def convert(files: DataFrame, config: Config = DEFAULT, *, path: str = "path", content: str = "content", formats: tuple[str, ...] | None = None) -> DataFrame:
     """Files (path, content) to path, format, length, language, markdown and, where a file
     was refused or broken, error_code, error_layer and http_status. PDF files need a reader
-    that is registered; see ``convert_pages`` for their words and tables."""
+    that is registered; see ``convert_pages`` for their words and tables. ``formats``: those
+    that occur, where the caller knows them; the plan then has no branches for others."""
     own = list(READERS)
     src = route(files.select(F.col(path).alias("path"), F.col(content).alias("content")), F.col("path"))
     src = src.withColumn("format", F.when(F.col("extension").isin(own), F.col("extension")).otherwise(F.col("format"))) if own else src
@@ -62,8 +63,9 @@ def convert(files: DataFrame, config: Config = DEFAULT, *, path: str = "path", c
     src = src.withColumn("__i", index).withColumn("guard", F.coalesce("guard", F.when(zipped, zip_verdict(F.col("__i"), config)))).drop("__i")
     parts = [src.where(F.col("guard").isNotNull()).withColumn("sections", F.lit(None).cast(plain.SECTIONS)).withColumn("language", F.lit(None).cast("string")).withColumn("read_error", F.col("guard"))]
     good = src.where(F.col("guard").isNull())
-    for kind, formats in (("text", ["text"]), ("markdown", ["markdown"]), ("html", ["html"]), ("csv", ["csv"]), ("office", ["docx", "pptx", "xlsx"])):
-        parts.append(_read(good.where(F.col("format").isin(formats)), kind, config))
+    for kind, names in (("text", ["text"]), ("markdown", ["markdown"]), ("html", ["html"]), ("csv", ["csv"]), ("office", ["docx", "pptx", "xlsx"])):
+        if formats is None or set(names) & set(formats):
+            parts.append(_read(good.where(F.col("format").isin(names)), kind, config))
     parts += [reader(good.where(F.col("format") == x), config) for x, reader in READERS.items()]
     columns = ["path", "format", "length", "language", "sections", "read_error"]
     out = parts[0].select(*columns)

@@ -314,9 +314,12 @@ def clean_sections(files: DataFrame, name: str = "sections", config: Config = DE
     def each(change):
         return F.transform(name, lambda es: F.transform(es, change))
 
+    def on_sheets(step):
+        return lambda e: F.when(e["kind"] == "sheet", e.withField("rows", step(e["rows"]))).otherwise(e)
+
     files = files.withColumn(name, each(one))
     for step in tables.sheet_steps(config):
-        files = files.withColumn(name, each(lambda e, step=step: F.when(e["kind"] == "sheet", e.withField("rows", step(e["rows"]))).otherwise(e)))
+        files = files.withColumn(name, each(on_sheets(step)))
 
     def sheet(e: Column) -> Column:
         cols = F.size(F.get(e["rows"], 0))
