@@ -9,7 +9,7 @@ from __future__ import annotations
 import importlib.util
 import shutil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,3 +43,13 @@ def image_decisions(images: DataFrame, words: DataFrame, pages: DataFrame, *, re
     acted = F.sum(F.col("decision").isin("ocr", "placeholder").cast("int")).over(Window.partitionBy("doc_id", "page").orderBy("img_ord"))
     late = F.col("decision").isin("ocr", "placeholder") & (acted > config.ocr_max_images)
     return out.withColumn("decision", F.when(late, "skip").otherwise(F.col("decision"))).select(*key, "area_ratio", "n_words", "decision")
+
+
+def within_budget(decisions: DataFrame, seconds: Column, config: Config = DEFAULT) -> DataFrame:
+    """``decisions`` (of ``image_decisions``) under the time budget of a document: images are
+    read in order as long as the seconds spent before are below it; later ones are skipped,
+    or noted where they are large. ``seconds`` is what an image takes, so reruns agree."""
+    w = Window.partitionBy("doc_id").orderBy("page", "img_ord").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum(F.when(F.col("decision") == "ocr", seconds).otherwise(0.0)).over(w), F.lit(0.0))
+    late = F.when(F.col("area_ratio") < config.ocr_placeholder_min_area_ratio, "skip").otherwise("placeholder")
+    return decisions.withColumn("__spent", spent).withColumn("decision", F.when((F.col("decision") == "ocr") & (F.col("__spent") >= config.ocr_total_budget_seconds), late).otherwise(F.col("decision"))).drop("__spent")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,6 +76,27 @@ def write_markdown(done: DataFrame, folder: str, *, overwrite: bool = False) ->
     return written.unionByName(skipped.select("output", F.lit("skipped").alias("status")))
 
 
+def zip_requests(done: DataFrame, request: str) -> DataFrame:
+    """One ZIP per request (columns: request, output, markdown, error_code): its documents in
+    the order of ``output``, equal names as they are. A request with a failure gets no ZIP
+    but the first failure's code. One group is one request, whose size the limits bound."""
+
+    def pack(files: pd.DataFrame) -> pd.DataFrame:
+        files = files.sort_values("output", kind="stable")
+        bad = files["error_code"].dropna()
+        data = None
+        if bad.empty:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, text in zip(files["output"], files["markdown"], strict=True):
+                    z.writestr(zipfile.ZipInfo(name), text)
+            data = out.getvalue()
+        return pd.DataFrame([(files[request].iloc[0], data, None if bad.empty else bad.iloc[0])], columns=[request, "zip", "error_code"])
+
+    kind = dict(done.dtypes)[request]
+    return done.select(request, "output", "markdown", "error_code").groupBy(request).applyInPandas(pack, f"{request} {kind}, zip binary, error_code string")
+
+
 def audit(done: DataFrame) -> DataFrame:
     """One JSON line a conversion: metadata only, never content."""
     record = F.struct(

@@ -66,6 +66,13 @@ def test_ocr(spark):
         assert [r.decision for r in ocr.image_decisions(images, none, pages, recogniser=there).orderBy("img_ord").collect()] == expected
 
 
+def test_ocr_budget(spark):
+    rows = [(1, 1, i, 0.6 if i == 3 else 0.2, "small" if i == 1 else "ocr") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, img_ord int, area_ratio double, decision string")
+    got = ocr.within_budget(df, F.lit(2.0)).orderBy("img_ord")
+    assert [r.decision for r in got.collect()] == ["ocr", "small", "ocr", "placeholder", "skip"]
+
+
 def test_serving_rules(spark):
     df = spark.createDataFrame([('a"b\r\n\\c/d', "1.2.3.4, 5.6.7.8", "https://x.y/", "k"), ("   ...   ", "", None, None)], "n string, f string, o string, k string")
     got = df.select(guards.safe_stem(F.col("n")), guards.client_ip(F.col("f"), F.lit("9.9.9.9")), guards.origin_allowed(F.col("o"), ["https://x.y"]), guards.key_matches(F.col("k"), "k")).collect()

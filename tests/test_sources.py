@@ -12,7 +12,7 @@ from quirestream.api import ConversionError, convert
 from quirestream.config import DEFAULT
 from quirestream.plans.convert import convert as convert_files
 from quirestream.plans.convert import convert_pages
-from quirestream.sources.files import audit, exit_code, output_names, write_markdown
+from quirestream.sources.files import audit, exit_code, output_names, write_markdown, zip_requests
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 REL = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
@@ -168,3 +168,11 @@ def test_pages(spark):
     grid = [["a", "b", "c", "d"], ["1", "2", "3", "4"]]
     b = spark.createDataFrame([(1, 1, 0, 0.0, 300.0, 500.0, 400.0, grid)], "doc_id long, page int, tbl_ord int, x0 double, top double, x1 double, bottom double, rows array<array<string>>")
     assert convert_pages(w, b, w.select("doc_id", "page").distinct()).first()["markdown"] == "# INFORME ANUAL\n\nuna frase que se corta aquí y sigue\n\n- viñeta uno\n- viñeta dos\n\n| a | b | c | d |\n| --- | --- | --- | --- |\n| 1 | 2 | 3 | 4 |\n"
+
+
+def test_zip_requests(spark):
+    rows = [(1, "b.md", "B\n", None), (1, "a.md", "A\n", None), (1, "a.md", "A2\n", None), (2, "c.md", None, "INFRA_CORRUPT_FILE"), (2, "d.md", "D\n", None)]
+    got = {r.req: r for r in zip_requests(spark.createDataFrame(rows, "req long, output string, markdown string, error_code string"), "req").collect()}
+    with zipfile.ZipFile(io.BytesIO(got[1].zip)) as z:
+        assert z.namelist() == ["a.md", "a.md", "b.md"] and z.read("b.md") == b"B\n"
+    assert got[2].zip is None and got[2].error_code == "INFRA_CORRUPT_FILE"
