@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirestream.llm.staging import small_batches
 from quirestream.llm.tokens import ALNUM, gram_starts, grams, words
 
 SPAN, K = 13, 7
@@ -133,6 +134,7 @@ def scan(column: pa.Array, ix: Index, span: int = SPAN, k: int = K) -> tuple[lis
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = K, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (sorted ids of the items whose
     windows occur) and ``contaminated`` (hit words are 5% of the words or more)."""
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 40)).first()[0] or 0
     names = docs.columns

@@ -112,8 +112,8 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([p.tobytes()], pa.binary())], ["block", "part"])
 
     sums = sets.select("grams").mapInArrow(count, "block long, part binary").repartition(blocks, "block").mapInArrow(add, "block long, part binary")
-    out = np.zeros(SKETCH, np.int64)
-    for r in sums.collect():  # SKETCH counters of four bytes in all
+    out = np.zeros(SKETCH, np.uint32)
+    for r in stage(sums, "sketch").collect():  # SKETCH counters of four bytes in all
         out[r.block * (SKETCH // blocks) : (r.block + 1) * (SKETCH // blocks)] += np.frombuffer(r.part, np.uint32)
     return out
 
@@ -285,8 +285,9 @@ def tree_pairs(leaf: np.ndarray, size: np.ndarray, sim: int) -> tuple[np.ndarray
     for depth in range(len(tree) - 1, -1, -1):
         bm, lo, hi, e = tree[depth]
         keep = [np.zeros((2, 0), np.int64)]
-        for c in range(0, len(x), 8192):
-            i, j = x[c : c + 8192], y[c : c + 8192]
+        some = max(16, (1 << 18) // bm.shape[1])  # two MB of bitmaps at once
+        for c in range(0, len(x), some):
+            i, j = x[c : c + some], y[c : c + some]
             ok = 100 * hi[i] >= sim * lo[j]  # rows are ordered by size: i is the smaller side
             i, j = i[ok], j[ok]
             common = np.bitwise_count(bm[i] & bm[j]).sum(axis=1, dtype=np.int64) + np.minimum(e[i], e[j])
@@ -462,8 +463,7 @@ def similar_sets(sets: DataFrame, sim: int = SIM) -> DataFrame:
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, sim: int = SIM) -> DataFrame:
     """``id_col``, ``n_shingles``, ``set_id`` (least id with the same set) and ``component_id`` of every row."""
     sets = stage(set_table(docs, id_col, text_col, k), "sets")
-    edges = similar_sets(sets, sim)
-    labels = components(edges)
+    labels = stage(components(similar_sets(sets, sim)), "labels")
     rows = sets.select("id", "n", "key1", "key2")
     keys = ["key1", "key2", "n"]
     classes = rows.where("n > 0 and id is not null").groupBy(*keys).agg(F.min("id").alias("set_id"))

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirestream.llm.staging import small_batches
+
 #: Bound of the labelled sample: documents a language, characters of a document, bytes of a dictionary.
 MAX_DOCS, DOC_CHARS, MAX_BYTES = 400, 4000, 96_000
 #: Characters of a piece; texts of up to this many are compressed with the stronger level.
@@ -127,6 +129,7 @@ def train(docs: DataFrame, **columns) -> Model:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with the struct column ``language``: lang_pred, score, margin, rejected."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")

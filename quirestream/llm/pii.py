@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirestream.llm.staging import small_batches
+
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 #: Schemes of addresses, and cues that stand before an identifier.
@@ -129,6 +131,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the struct column ``pii``: spans (kind, start, end, in order), as
     text, the count of each base kind and the digest of the base spans."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("found array<struct<kind:string,start:int,end:int>>, spans string, base_sha256 string, n_email long, n_ip long, n_card long, n_phone long")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

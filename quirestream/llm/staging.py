@@ -1,31 +1,26 @@
-"""Tables written to the shared folder, which cut lineage and survive lost executors."""
+"""The library's staging, with small Arrow batches: their rows are whole texts or sets."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from quirestream.plans import staging
+from quirestream.plans.staging import parts, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests,
-    one machine) a temporary folder that this session then keeps."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quirestream-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["parts", "shared_dir", "small_batches", "stage"]
 
+#: Most rows of an Arrow batch in a session that runs these operators.
+ROWS = 1000
+_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the reading of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirestream-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``ROWS`` rows; smaller ones stay."""
+    if not 0 < int(spark.conf.get(_KEY)) <= ROWS:
+        spark.conf.set(_KEY, str(ROWS))
 
-def parts(spark: SparkSession) -> int:
-    """Partitions of a shuffle, as the session has it."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and return the reading of it."""
+    small_batches(df.sparkSession)
+    return staging.stage(df, name)

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are worked on at once, unless one document is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

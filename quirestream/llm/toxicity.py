@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quirestream.llm.staging import small_batches
 from quirestream.llm.tokens import _COEFF, SPACED, U, Words, mix64, words
 
 #: Bounds of the labelled sample and of the vocabulary.
@@ -227,6 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``evidence`` (id, label and cosine of the neighbours)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     evidence = pa.list_(pa.struct([("id", pa.int64()), ("toxic", pa.bool_()), ("cosine", pa.float64())]))
