@@ -33,8 +33,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked documents, that of the least id."""
-    found = jaccard.near_copies(docs.select("doc_id", "text"))
+    """One document of each component of linked documents, that of the least id; of rows
+    that repeat one document, one."""
+    found = stage(jaccard.near_copies(docs.select("doc_id", "text")), "components")
+    twice = stage(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
+    if not twice.isEmpty():
+        docs = docs.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
     dropped = stage(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= SEND else dropped
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
