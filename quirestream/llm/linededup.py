@@ -17,9 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirestream.llm.staging import stage
+
 #: Share of a host's pages from which a line is boilerplate, and fewest pages.
 MAX_RATIO, MIN_PAGES = 0.2, 5
 
+#: Boilerplate hashes of all hosts (8 bytes each) that are sent to every task at most.
+SEND = 1_000_000
+
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 BLOCK_TAG = r"(?i)</?(?:html|head|body|title|meta|link|nav|ul|ol|li|div|article|section|header|footer|main|aside|h[1-6]|p|br|hr|table|thead|tbody|tr|td|th|pre|blockquote|form|!doctype)\b[^>]*>"
 
@@ -57,7 +62,9 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float,
 def drop_boilerplate(pages: DataFrame, *, host: Column, text: Column, out: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with ``out`` holding the text without boilerplate lines, and with the
     columns ``n_lines`` and ``n_dropped`` (non-empty lines seen and dropped)."""
-    drops = boilerplate(pages, host, text, max_ratio, min_pages).withColumnRenamed("host", "__host")
+    drops = stage(boilerplate(pages, host, text, max_ratio, min_pages).withColumnRenamed("host", "__host"), "boilerplate")
+    if (drops.agg(F.sum(F.size("__drop"))).first()[0] or 0) <= SEND:  # else pages and hashes meet in a shuffle
+        drops = F.broadcast(drops)
     lines = pages.withColumn("__host", host).withColumn("__lines", F.split(text, "\n"))
     joined = lines.join(drops, "__host", "left")
     none = F.col("__drop").isNull()
