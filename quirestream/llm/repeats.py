@@ -123,31 +123,62 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.mapInArrow(run, f"row long, id {key}, n long, sha binary, name array<long>, around array<long>, pos array<int>")
 
 
+PLACE = "name long, around long, row long, pos int, kind int, salt int"
+
+
+def _combined(lists: DataFrame) -> DataFrame:
+    """Anchors as rows, told apart before they are shuffled. kind 0: the surroundings occur
+    again in this batch, and another row stands for them; it is settled, and salted, so that
+    what is very frequent does not meet in one task. 1: the only one. 2: stands for several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            name, around, pos = (c.flatten().to_numpy() for c in b.columns[1:4])
+            row = np.repeat(b.column(0).to_numpy(), b.column(1).value_lengths().fill_null(0).to_numpy())
+            if len(name) == 0:
+                continue
+            order = np.lexsort((pos, row, around, name))
+            n, a = name[order], around[order]
+            first = np.concatenate([[True], (n[1:] != n[:-1]) | (a[1:] != a[:-1])])
+            size = np.diff(np.append(np.flatnonzero(first), len(n)))
+            kind = np.zeros(len(n), np.int32)
+            kind[first] = np.where(size > 1, 2, 1)
+            salt = np.where(kind == 0, 1 + (row[order] * 31 + pos[order]) % 9973, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (n, a, row[order], pos[order], kind, salt)], ["name", "around", "row", "pos", "kind", "salt"])
+
+    return lists.select("row", "name", "around", "pos").mapInArrow(run, PLACE)
+
+
 def _meetings(places: DataFrame) -> DataFrame:
-    """From name, around, row, pos: what has to be settled. kind 0: the surroundings occur
-    elsewhere, too. kind 1: the first of its surroundings, at a hash with several."""
+    """What has to be settled. kind 0: the surroundings occur elsewhere, too. kind 1: the
+    first of its surroundings, at a hash with several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a stream in order of (name, around); no group is held, only its first rows
         name = around = None
-        first: tuple | None = None  # first row of these surroundings, until a second one comes
+        first: tuple | None = None  # first row of these surroundings, until it is settled
         lead: tuple | None = None  # first row of this name, until other surroundings come
         for b in batches:
-            out: list[tuple] = []
-            names, arounds = b.column(0).to_numpy(), b.column(1).to_numpy()
-            rows, pos = b.column(2).to_numpy(), b.column(3).to_numpy()
-            # rows whose name differs from both neighbours' say nothing; skip them in bulk
-            lone = np.ones(len(names), bool)
-            same = names[1:] == names[:-1]
+            names, arounds, rows, pos, kinds = (b.column(i).to_numpy() for i in range(5))
+            plain = np.flatnonzero(kinds == 0)
+            out: list[tuple] = list(zip(names[plain].tolist(), rows[plain].tolist(), pos[plain].tolist(), kinds[plain].tolist(), strict=True))
+            at = np.flatnonzero(kinds > 0)
+            # single rows whose name differs from both neighbours' say nothing; skip them in bulk
+            lone = kinds[at] == 1
+            n_ = names[at]
+            same = n_[1:] == n_[:-1]
             lone[1:] &= ~same
             lone[:-1] &= ~same
-            if len(names):
-                lone[0] &= name is None or names[0] != name
+            if len(at):
+                lone[0] &= name is None or n_[0] != name
                 lone[-1] = False
-            for i in np.flatnonzero(~lone).tolist():
+            for i in at[~lone].tolist():
                 n, a, r, p = int(names[i]), int(arounds[i]), int(rows[i]), int(pos[i])
+                several = kinds[i] == 2
                 if n != name:
-                    name, around, first, lead = n, a, (n, r, p), (n, r, p)
+                    name, around, first, lead = n, a, None if several else (n, r, p), (n, r, p)
+                    if several:
+                        out.append((n, r, p, 0))
                 elif a == around:
                     if first is not None:
                         out.append((*first, 0))
@@ -158,12 +189,14 @@ def _meetings(places: DataFrame) -> DataFrame:
                         out.append((*lead, 1))
                         lead = None
                     out.append((n, r, p, 1))
-                    around, first = a, (n, r, p)
+                    if several:
+                        out.append((n, r, p, 0))
+                    around, first = a, None if several else (n, r, p)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["name", "row", "pos", "kind"])
 
-    spread = places.repartition(parts(places.sparkSession), "name").sortWithinPartitions("name", "around", "row", "pos")
-    return spread.mapInArrow(run, "name long, row long, pos int, kind int")
+    spread = places.repartition(parts(places.sparkSession), "name", "salt").sortWithinPartitions("name", "salt", "around", "row", "pos")
+    return spread.select("name", "around", "row", "pos", "kind").mapInArrow(run, "name long, row long, pos int, kind int")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -296,7 +329,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     classes = scan.groupBy("sha").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
     single = stage(classes.join(scan.select("row", "id", "n"), "row").select("row", "id", "sha", "n", "copies"), "classes")
     lone = scan.select("row", "name", "around", "pos").join(single.where(f"n >= {SPAN}").select("row", F.col("copies").alias("c")), "row")
-    places = lone.select("row", F.explode_outer(F.arrays_zip("name", "around", "pos")).alias("x")).where("x is not null").select("x.name", "x.around", "row", "x.pos")
+    places = _combined(lone)
     meet = stage(_meetings(places), "meetings")
     # surroundings as bytes, where there are several for one hash
     need = meet.where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("pos", "name")).alias("at"))
