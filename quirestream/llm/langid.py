@@ -25,8 +25,8 @@ import regex
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quirestream.llm.sampling import smallest_hashes
 from quirestream.llm.staging import small_batches
 
 #: Bound of the labelled sample: documents a language, characters of a document, bytes of a dictionary.
@@ -53,9 +53,8 @@ def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     if where is not None:
         rows = rows.where(where)
-    order = Window.partitionBy("l").orderBy("h", "i")
-    ids = rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("l"), F.xxhash64(F.col(id_col)).alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= MAX_DOCS)
-    picked = {(r.l, r.i): r.r for r in ids.collect()}  # MAX_DOCS a language
+    ids = smallest_hashes(rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("l")), "l", "i", MAX_DOCS)
+    picked = {(r.l, r.i): r.rank for r in ids.collect()}  # MAX_DOCS a language
     wanted = docs.sparkSession.createDataFrame([(i,) for _, i in picked], f"i {docs.schema[id_col].dataType.simpleString()}") if picked else None
     out: dict[str, list[tuple[int, str]]] = {}
     if wanted is not None:

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from quirestream.llm.sampling import smallest_hashes
 from quirestream.llm.staging import small_batches
 from quirestream.llm.tokens import _COEFF, SPACED, U, Words, mix64, words
 
@@ -209,8 +209,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
     if where is not None:
         known = known.where(where)
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i")
-    ids = known.withColumn("r", F.row_number().over(order)).where((F.col("r") <= MAX_CLEAN) & ((F.col("y") == 0) | (F.col("r") <= MAX_TOXIC))).select("i", "y")
+    ids = smallest_hashes(known, "y", "i", {0: MAX_CLEAN, 1: MAX_TOXIC}).select("i", "y")
     # MAX_TOXIC + MAX_CLEAN rows: that may be sent to all
     return docs.join(F.broadcast(ids), docs[id_col] == F.col("i")).select("i", F.col(text_col).alias("t"), "y")
 

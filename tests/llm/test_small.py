@@ -477,3 +477,16 @@ def test_html_lines(spark):
     html = "<!DOCTYPE html><html><head><title>T</title><script>x<\n</script></head><body><p>a <b>b</b><p>c<!-- no --></body></html>"
     got = spark.createDataFrame([(html,)], "h string").select(linededup.html_lines(F.col("h"))).first()[0]
     assert [x for x in got.split("\n") if x] == ["T", "a b", "c"]
+
+
+# samples --------------------------------------------------------------------------------
+
+
+def test_smallest_hashes(spark):
+    from quirestream.llm.sampling import smallest_hashes
+
+    df = spark.range(20000).select(F.col("id").alias("i"), F.when(F.col("id") < 30, "few").otherwise("many").alias("g"))
+    got = smallest_hashes(df, "g", "i", 100)
+    want = [r.i for r in df.where("g = 'many'").orderBy(F.xxhash64("i"), "i").limit(100).collect()]
+    assert [r.i for r in got.where("g = 'many'").orderBy("rank").collect()] == want and got.where("g = 'few'").count() == 30
+    assert smallest_hashes(df, "g", "i", {"few": 5}).count() == 5
