@@ -443,6 +443,50 @@ def test_language_model_learns(spark):
     assert p.perplexity < 6 < 30 < p.base_perplexity
 
 
+@pytest.mark.parametrize("known", [1 << 18, 100])
+def test_language_model_is_brute_force_over_pairs(spark, monkeypatch, known):
+    """Words beyond the symbols are contexts and dishes: with one symbol the parent is known by hand."""
+    monkeypatch.setattr(pyp_lm, "SYMBOLS", 1)
+    monkeypatch.setattr(pyp_lm, "KNOWN", known)
+    rng = random.Random(11)
+    follow = {i: rng.sample(range(600), 2) for i in range(600)}
+
+    def chain():
+        w, out = rng.randrange(600), []
+        for _ in range(80):
+            w = rng.choice(follow[w])
+            out.append(f"t{w}")
+        return " ".join(out)
+
+    rows = [(i, chain(), None, None) for i in range(150)]
+    df = table(spark, rows)
+    model, counts = pyp_lm.train(df, where=F.col("doc_id") % 5 != 1)
+    scored = pyp_lm.score(df, model, counts)
+    p = pyp_lm.perplexity(scored.where("doc_id % 5 = 1")).first()
+    assert p.perplexity < 12 < 300 < p.base_perplexity
+    tok = lambda t: t.split()
+    seen = Counter(x for r in rows if r[0] % 5 != 1 for x in zip(["<", *tok(r[1])], [*tok(r[1]), ">"], strict=True))
+    single, word, n, m = Counter(seen.values()), Counter(), Counter(), Counter()
+    for (u, w), c in seen.items():
+        n[u] += c
+        m[u] += 1
+        word[w] += c
+    d = min(0.95, max(0.05, single[1] / (single[1] + 2 * single[2])))
+    assert math.isclose(d, model.pair_discount)
+    (symbol,) = [k for k, s in zip(model.vocabulary.hashes, model.vocabulary.symbol, strict=True) if s >= 0]
+    one = next(w for w in word if next(words(pa.array([w]), SPACED)).hashes[0] == symbol)
+    ctx, logp = model.contexts, model.logp.astype(np.float64)
+    for r in scored.collect():
+        t, last, klass, want = tok(rows[r.doc_id][1]), pyp_lm.LAST, pyp_lm.PREVIOUS + 1, 0.0
+        for u, w in zip(["<", *t], [*t, ">"], strict=True):
+            s = 0 if w == one else 1 if w == ">" else 2
+            parent = 10 ** logp[last * (pyp_lm.PREVIOUS + 2) + klass, s] * (float(model.other(np.array([word[w]]))[0]) if s == 2 else 1)
+            want += math.log10((max(seen[u, w] - d, 0) + (1 + d * m[u]) * parent) / (1 + n[u]))
+            last = 0 if w == one else last
+            klass = 0 if w == one else pyp_lm.PREVIOUS
+        assert math.isclose(r.score, want, rel_tol=1e-5)
+
+
 def test_language_model_empty(spark):
     df = table(spark, [(1, "a b", None, None), (2, None, None, None)])
     model, counts = pyp_lm.train(df.limit(0))
