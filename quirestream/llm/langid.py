@@ -8,7 +8,11 @@ every piece counts.
 
 Labelled rows: at most ``MAX_DOCS`` documents a language (those with the smallest hash
 of their id) and ``MAX_BYTES`` bytes of dictionary are used, so the model has a fixed
-size however many labels there are.
+size however many labels there are. A language with less labelled text keeps a smaller
+dictionary, and the sizes it gives are multiplied by a factor of at most 1: what a
+dictionary of that size costs the largest languages on labelled texts of their own, but
+not so low that labelled texts of other languages would come near it. The labelled
+texts for that are left out of the dictionaries that they are measured with.
 
 Defined results: null text or no letter in it gives ``und``, score 0, rejected; ties go
 to the first language in code-point order; languages without any labelled letter are
@@ -36,6 +40,8 @@ PIECE, SHORT = 3000, 300
 LEVEL, SHORT_LEVEL = 3, 12
 #: Rejected where the second language needs less than this more, as a share of the best size.
 MIN_MARGIN = 0.004
+#: For the factors: every so many-th document of a language is measured, so many in all, and this share of them may come near another.
+EVERY, MEASURED, NEAR = 10, 400, 0.01
 
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}']+")
@@ -68,15 +74,42 @@ class Model:
     """Dictionaries by language; picklable, the compressors are made where it is used."""
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
+        self._learn(texts)
+        self._fit(texts)
+
+    def _learn(self, texts: dict[str, list[str]]) -> None:
         self.words: dict[str, bytes] = {}
         for lang in sorted(texts):
             # zstandard reaches the end of a dictionary most cheaply: the first documents go last
             data = b" ".join(c.encode() for t in reversed(texts[lang]) if (c := clean(t)))
             if data:
                 self.words[lang] = b" " + data[-MAX_BYTES:] + b" "
-        least = min(map(len, self.words.values()), default=0)
-        self.words = {k: v[-least:] for k, v in self.words.items()}  # equal sizes favour none
         self.langs = list(self.words)
+        self.factors = np.ones(len(self.langs))
+
+    def _fit(self, texts: dict[str, list[str]]) -> None:
+        """Factors of the languages whose dictionaries are smaller than the largest."""
+        most = max(map(len, self.words.values()), default=0)
+        small = [k for k, lang in enumerate(self.langs) if len(self.words[lang]) < most]
+        if not small:
+            return
+        each = max(2, MEASURED // len(self.langs))
+        out = {lang: [t for t in texts[lang][EVERY - 1 :: EVERY] if clean(t)][:each] for lang in self.langs}
+        probe = object.__new__(Model)
+        probe._learn({lang: [t for i, t in enumerate(texts[lang]) if i % EVERY != EVERY - 1] for lang in self.langs})
+        if probe.langs != self.langs or not any(out.values()):
+            return
+        sizes = {lang: np.array([probe.ready().sizes(t) for t in out[lang]]) for lang in self.langs if out[lang]}
+        largest = sorted(sizes, key=lambda lang: -len(probe.words[lang]))[:3]
+        for k in small:
+            lang, size = self.langs[k], len(self.words[self.langs[k]])
+            cut = object.__new__(Model)
+            cut.words = {x: probe.words[x][-size:] for x in largest}
+            cut.langs, cut.factors = list(largest), np.ones(len(largest))
+            cost = [s[self.langs.index(x)] / cut.ready().sizes(t)[j] for j, x in enumerate(largest) if x != lang for s, t in zip(sizes[x], out[x], strict=True)]
+            near = [np.delete(s, k).min() / s[k] for x, rows in sizes.items() if x != lang for s in rows if len(s) > 1]
+            if cost and near:
+                self.factors[k] = min(1.0, max(float(np.median(cost)), (1 + MIN_MARGIN) * float(np.quantile(near, 1 - NEAR))))
 
     def _compressors(self, level: int) -> list[zstd.ZstdCompressor]:
         made = []
@@ -93,17 +126,17 @@ class Model:
         return self
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "langs": self.langs}
+        return {"words": self.words, "langs": self.langs, "factors": self.factors}
 
     def sizes(self, text: str) -> np.ndarray:
-        """Bytes of the whole text with each language's dictionary."""
+        """Bytes of the whole text with each language's dictionary, times its factor."""
         t = clean(text)
         use = self._short if len(t) <= SHORT else self._long
         out = np.zeros(len(self.langs))
         for i in range(0, len(t), PIECE):
             piece = f" {t[i : i + PIECE]} ".encode()
             out += [len(c.compress(piece)) for c in use]
-        return out
+        return out * self.factors
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
         """lang_pred, score, margin and rejected of each text."""

@@ -207,6 +207,25 @@ def test_language(spark):
     assert langid.identify(df, langid.train(df.limit(0))).first().language.lang_pred == "und"
 
 
+@pytest.mark.parametrize("few", [["ok"], ["zaz qux wib", "qux wib fol"], None])
+def test_small_language_leaves_the_others(few):
+    """A language of one short text, or of little text, shortens no other dictionary."""
+    rng = random.Random(6)
+    syll = {"aa": ["tion", "ing", "the", "and", "sh"], "bb": ["tion", "ñado", "que", "los", "and"], "cc": ["sch", "ung", "the", "über", "ing"], "dd": ["zaz", "qux", "the", "wib", "ing"]}
+    vocabulary = {l: ["".join(rng.choice(s) for _ in range(rng.randrange(1, 4))) for _ in range(300)] for l, s in syll.items()}
+    make = lambda l, n: " ".join(rng.choice(vocabulary[l]) for _ in range(n))
+    texts = {l: [make(l, 60) for _ in range(100)] for l in ["aa", "bb", "cc"]}
+    before = langid.Model(texts)
+    model = langid.Model(texts | {"dd": few or [make("dd", 60) for _ in range(5)]})
+    assert all(model.words[l] == before.words[l] for l in texts) and model.langs == ["aa", "bb", "cc", "dd"]
+    assert len(model.words["dd"]) < len(model.words["aa"]) / 10 and 0 < model.factors[3] <= 1 and (model.factors[:3] > 0.9).all()
+    held = [(l, make(l, 12)) for l in texts for _ in range(60)]
+    got = model.predict([t for _, t in held])
+    assert (got.lang_pred == [l for l, _ in held]).mean() > 0.95 and got.rejected.mean() < 0.05
+    if few is None:
+        assert (model.predict([make("dd", 40) for _ in range(60)]).lang_pred == "dd").mean() > 0.8
+
+
 # 4 --------------------------------------------------------------------------------------
 
 
