@@ -135,14 +135,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (sorted ids of the items whose
     windows occur) and ``contaminated`` (hit words are 5% of the words or more)."""
     small_batches(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 40)).first()[0] or 0
     names = docs.columns
     if size <= broadcast_bytes:
         ix = docs.sparkSession.sparkContext.broadcast(item_index([(r.i, r.t) for r in items.toLocalIterator()], span, k))
         found = _with_hits(docs, text_col, lambda: ix.value, span, k)
     else:
-        found = _joined(docs, items, text_col, id_col, span, k)
+        found = _joined(docs, items, text_col, span, k)
     bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return found.select(*names, "n_words", "n_hit", "items", bad.alias("contaminated"))
 
@@ -163,9 +163,11 @@ def _with_hits(docs: DataFrame, text_col: str, index, span: int, k: int) -> Data
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
 
 
-def _joined(docs: DataFrame, items: DataFrame, text_col: str, id_col: str, span: int, k: int) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, text_col: str, span: int, k: int) -> DataFrame:
     """For a large benchmark: fingerprints (and short windows) meet in a shuffle; each
-    document then gets the texts of the items that it met, and is scanned for those."""
+    document then gets the texts of the items that it met, and is scanned for those.
+    Documents are keyed by a hash of their text, which needs no id; texts that share one
+    share the items to scan for, which changes no result."""
 
     def prints(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,11 +187,10 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, id_col: str, span:
     # items have short lengths of their own only: a full-length window never equals one
     count = F.size(F.regexp_extract_all(F.lower("t"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
     lengths = [r.n for r in items.select(count.alias("n")).where(f"n > 0 and n < {span}").distinct().collect()]
-    key = docs.schema[id_col].dataType.simpleString()
-    left = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(lambda b: prints(b, lengths), f"id {key}, print long").distinct()
+    left = docs.select(F.xxhash64(text_col).alias("id"), text_col).mapInArrow(lambda b: prints(b, lengths), "id long, print long").distinct()
     right = items.mapInArrow(lambda b: prints(b, lengths), "id string, print long").withColumnRenamed("id", "i").distinct()
-    met = left.join(right, "print").select("id", "i").distinct().join(items, "i").groupBy("id").agg(F.collect_set(F.struct("i", "t")).alias("__met"))
-    both = docs.join(met, docs[id_col] == met["id"], "left").drop("id") if id_col != "id" else docs.join(met, "id", "left")
+    met = left.join(right, "print").select("id", "i").distinct().join(items, "i").groupBy(F.col("id").alias("__key")).agg(F.collect_set(F.struct("i", "t")).alias("__met"))
+    both = docs.withColumn("__key", F.xxhash64(text_col)).join(met, "__key", "left")
 
     @F.pandas_udf(RESULT)
     def each(text: pd.Series, met: pd.Series) -> pd.DataFrame:

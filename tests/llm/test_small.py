@@ -263,6 +263,16 @@ def test_decontamination(spark, limit):
     assert any(x[1] for x in want.values())
 
 
+@pytest.mark.parametrize("limit", [1 << 25, 0])
+def test_decontamination_without_ids(spark, limit):
+    rng = random.Random(14)
+    items = [(1, text(rng, 20, 90)), (None, text(rng, 20, 90)), (None, "lone short")]
+    docs = [(1, text(rng, 50, 90) + " " + items[1][1], "x", None), (None, text(rng, 30, 90) + " " + items[0][1], "y", None), (None, text(rng, 30, 90), "z", None), (2, "a Lone short " + text(rng, 9, 90), "w", None), (None, None, "v", None), (2, items[1][1] + " " + items[0][1], "u", None)]
+    got = decontam.contamination(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=limit).collect()
+    assert {r.lang: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got} == {d[2]: brute_hits(d[1], items) for d in docs}
+    assert len(got) == len(docs) and {r.lang for r in got if r.contaminated} == {"x", "y", "w", "u"}
+
+
 def test_decontamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[-4:] for r in decontam.contamination(table(spark, [(1, "a b", None, None)]), none).collect()] == [(2, 0, [], False)]
