@@ -12,7 +12,9 @@ isotonic curve, fitted on the examples with each left out of its own neighbours,
 the share into a probability. Neighbours and their cosines are returned as evidence.
 
 The sample: at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled rows, those of the smallest
-hash of their id, so the model has a fixed size however many labels there are.
+hash of their id, so the model has a fixed size however many labels there are. Each row
+weighs as many labelled rows of its label as there are for one in the sample: selection,
+idf, votes and calibration follow the rates of all labels, whatever the bounds cut.
 
 Defined results: null, empty and wordless texts, and texts without a kept term, have no
 neighbours and get the share of toxic examples among those without a kept term; ties
@@ -64,8 +66,10 @@ def term_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Vocabulary, index and calibration; made by ``fit`` from texts and labels."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], labels: np.ndarray) -> None:
+    def __init__(self, ids: list[int], texts: list[str | None], labels: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)) -> None:
         self.ids, self.labels = np.array(ids), np.asarray(labels, bool)
+        self.weights = weights  # of a clean and of a toxic row
+        self.weight = np.where(self.labels, weights[1], weights[0])
         column = pa.array(texts, pa.string())
         bags = []
         for w in words(column, _WORDS):
@@ -87,15 +91,23 @@ class Model:
         terms, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
         d1 = np.bincount(inverse[lab], minlength=len(terms))
         d0 = df - d1
-        # log-likelihood ratio of the term's rows against even spread over the labels
-        rate = n1 / max(n0 + n1, 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = 2 * (np.where(d1 > 0, d1 * np.log(d1 / (df * rate)), 0) + np.where(d0 > 0, d0 * np.log(d0 / (df * (1 - rate))), 0))
-        gain[(df < MIN_ROWS) | (d1 <= df * rate)] = 0
+
+        def ratio(d0: np.ndarray, d1: np.ndarray, n0: float, n1: float) -> np.ndarray:
+            """Log-likelihood ratio of the term's rows against even spread over the labels."""
+            df, rate = d0 + d1, n1 / max(n0 + n1, 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = 2 * (np.where(d1 > 0, d1 * np.log(d1 / (df * rate)), 0) + np.where(d0 > 0, d0 * np.log(d0 / (df * (1 - rate))), 0))
+            gain[d1 <= df * rate] = 0
+            return gain
+
+        # rows seen tell whether a term counts, all labels how much
+        sure = (df >= MIN_ROWS) & (ratio(d0, d1, n0, n1) >= MIN_GAIN)
+        w0, w1 = self.weights
+        gain = np.where(sure, ratio(w0 * d0, w1 * d1, w0 * n0, w1 * n1), 0)
         best = np.argsort(-gain, kind="stable")[:MAX_TERMS]
-        best = np.sort(best[gain[best] >= MIN_GAIN])
+        best = np.sort(best[sure[best]])
         self.terms = terms[best]
-        self.idf = np.log((1 + n0 + n1) / (1 + df[best])) + 1
+        self.idf = np.log((1 + w0 * n0 + w1 * n1) / (1 + w0 * d0[best] + w1 * d1[best])) + 1
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.terms >> U(44)).astype(np.int64)] = True
 
@@ -144,31 +156,32 @@ class Model:
         return best
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        weight = [1 / (1.02 - min(c, 1.0)) for c, _ in near]
+        weight = [float(self.weight[i]) / (1.02 - min(c, 1.0)) for c, i in near]
         return sum(w for w, (_, i) in zip(weight, near, strict=True) if self.labels[i]) / sum(weight)
 
     def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        x, y, none = [], [], []
+        x, y, none = [], [], []  # y, none: weight if toxic, and weight
         for i, (t, v) in enumerate(vectors):
             near = self.nearest(t, v, leave=i)
             if near:
                 x.append(self.vote(near))
-                y.append(bool(self.labels[i]))
+                y.append((float(self.labels[i] * self.weight[i]), float(self.weight[i])))
             else:
-                none.append(bool(self.labels[i]))
-        total = len(self.labels)
-        rate = float(self.labels.mean()) if total else 0.5
-        self.empty = (sum(none) + rate) / (len(none) + 1)
+                none.append((float(self.labels[i] * self.weight[i]), float(self.weight[i])))
+        mean = float(self.weight.mean()) if len(self.labels) else 1.0
+        rate = float(self.weight[self.labels].sum() / self.weight.sum()) if len(self.labels) else 0.5
+        self.empty = (sum(a for a, _ in none) + rate * mean) / (sum(b for _, b in none) + mean)
         order = np.argsort(x, kind="stable")
         # pool adjacent violators, each pool smoothed by half a row of either label
         pools: list[list[float]] = []
         for i in order.tolist():
-            pools.append([x[i], float(y[i]), 1.0])
+            pools.append([x[i], *y[i]])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 b = pools.pop()
                 pools[-1] = [b[0], pools[-1][1] + b[1], pools[-1][2] + b[2]]
         self.curve_x = np.array([p[0] for p in pools])
-        self.curve_y = np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
+        w0, w1 = self.weights
+        self.curve_y = np.array([(p[1] + 0.5 * w1) / (p[2] + 0.5 * (w0 + w1)) for p in pools])
 
     def score(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -203,23 +216,25 @@ class Model:
                 yield known[key]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, where: Column | None) -> DataFrame:
-    """id, text and label of the bounded sample."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, where: Column | None) -> tuple[DataFrame, tuple[float, float]]:
+    """id, text and label of the bounded sample; for a clean and a toxic row of it, the labelled rows that it stands for."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if where is not None:
         known = known.where(where)
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
     ids = smallest_hashes(known, "y", "i", {0: MAX_CLEAN, 1: MAX_TOXIC}).select("i", "y")
+    total = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights = (max(1.0, total.get(0, 0) / MAX_CLEAN), max(1.0, total.get(1, 0) / MAX_TOXIC))
     # MAX_TOXIC + MAX_CLEAN rows: that may be sent to all
-    return docs.join(F.broadcast(ids), docs[id_col] == F.col("i")).select("i", F.col(text_col).alias("t"), "y")
+    return docs.join(F.broadcast(ids), docs[id_col] == F.col("i")).select("i", F.col(text_col).alias("t"), "y"), weights
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None) -> Model:
-    rows = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, where=where)
+    rows, weights = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, where=where)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted({(i, y, t or "") for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True)})
-        data = pickle.dumps(Model([g[0] for g in got], [g[2] for g in got], np.array([g[1] for g in got], bool)))
+        data = pickle.dumps(Model([g[0] for g in got], [g[2] for g in got], np.array([g[1] for g in got], bool), weights))
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["model"])
 
     return pickle.loads(rows.coalesce(1).mapInArrow(fit, "model binary").first()[0])

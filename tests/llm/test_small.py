@@ -431,6 +431,28 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_follows_the_rates_of_all_labels(spark, monkeypatch):
+    """A word on 60% of the toxic and 10% of the clean rows: with one row in ten toxic, 0.4 of
+    its rows are toxic, also where the bounds leave two clean rows in the sample for each toxic one."""
+    rng = random.Random(12)
+    bad = [f"z{c}q" for c in "abcdef"]
+    rows, toxic = [], {}
+    for i in range(3000):
+        toxic[i] = i % 10 == 0
+        has = rng.random() < (0.6 if toxic[i] else 0.1)
+        rows.append((i, text(rng, 20, 60) + (" " + " ".join(rng.choices(bad, k=3)) if has else ""), "bad" if has else "", None))
+    labels = spark.createDataFrame([(i, int(y)) for i, y in toxic.items()], "doc_id long, toxic int")
+    df = table(spark, rows)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 300)
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 150)
+    model = toxicity.train(df, labels)
+    assert model.weights == (9.0, 2.0) and model.labels.sum() == 150 and (~model.labels).sum() == 300
+    got = toxicity.score(df, model).collect()
+    mean = lambda x: sum(x) / len(x)
+    assert 0.25 < mean([r.score for r in got if r.lang]) < 0.55 and mean([r.score for r in got if not r.lang]) < 0.1
+    assert mean([r.score for r in got]) < 0.15
+
+
 # 9 --------------------------------------------------------------------------------------
 
 
