@@ -4,6 +4,7 @@ nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -17,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quirestream.llm import decontam, graph, jaccard, langid, linededup, mixing, neighbours, pii, pyp_lm, repeats, toxicity
+from quirestream.llm import blocks, decontam, graph, jaccard, langid, linededup, mixing, neighbours, pii, pyp_lm, repeats, toxicity
 from quirestream.llm.tokens import ALNUM, SPACED, words
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -456,24 +457,68 @@ def test_toxicity_follows_the_rates_of_all_labels(spark, monkeypatch):
 # 9 --------------------------------------------------------------------------------------
 
 
-def test_language_model(spark, corpus, monkeypatch):
-    monkeypatch.setattr(pyp_lm, "KNOWN", 64)
-    monkeypatch.setattr(pyp_lm, "SYMBOLS", 20)
+@pytest.mark.parametrize(("known", "share"), [(64, 4), (64, 2000), (1 << 17, 0.001)])
+def test_language_model(spark, corpus, monkeypatch, known, share):
+    """Base scores by counting; restaurants and scores recomputed from the model's tables, whatever is dealt by dish or sent to all."""
+    monkeypatch.setattr(pyp_lm, "KNOWN", known)
+    monkeypatch.setattr(pyp_lm, "SHARE", share)
     df = table(spark, corpus)
     train = F.coalesce(F.col("doc_id") % 5 != 1, F.lit(True))
     model, counts = pyp_lm.train(df, where=train)
     got = pyp_lm.score(df, model, counts).collect()
     tok = lambda t: [*SPLIT.findall((t or "").translate(LOW)), None]
-    c = Counter(w for r in corpus if r[0] is None or r[0] % 5 != 1 for w in tok(r[1]))
+    learned = [tok(r[1]) for r in corpus if r[0] is None or r[0] % 5 != 1]
+    c = Counter(w for t in learned for w in t)
     n, v = sum(c.values()), len(c)
-    want = Counter((r[0], len(tok(r[1])), sum(c[w] > 0 for w in tok(r[1])), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tok(r[1])), 6)) for r in corpus)
+    base = lambda t: round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)
+    want = Counter((r[0], len(tok(r[1])), sum(c[w] > 0 for w in tok(r[1])), n, base(tok(r[1]))) for r in corpus)
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    # every context's symbols, and the words behind "other" with the unseen one, sum to one
-    assert np.allclose((10.0 ** model.logp.astype(np.float64)).sum(axis=1), 1, atol=1e-5)
-    inside = {int(h) for h, s in zip(model.vocabulary.hashes, model.vocabulary.symbol, strict=True) if s >= 0}
+    # words behind "rare" with the unseen one sum to one, and so do the parent's dishes
+    voc = model.vocabulary
+    inside = {int(h) for h in voc.hashes}
     rest = [r.c for r in counts.collect() if (r.k % (1 << 64)) not in inside]
-    assert math.isclose(model.other(np.array(rest)).sum() + float(model.other(np.array([0]))[0]), 1, rel_tol=1e-6)
-    assert all(r.score < 0 for r in got)
+    assert math.isclose(model.rare(np.array(rest)).sum() + float(model.rare(np.array([0]))[0]), 1, rel_tol=1e-6)
+    assert math.isclose(model.parent.sum(), 1, rel_tol=1e-9)
+    # the restaurants hold every pair of training with its count
+    gain, customers, rooms = {}, {}, {}
+    for r in model.restaurants.collect():
+        k = blocks.unpacked(r.k, True).tolist()
+        x = np.frombuffer(r.x, np.float32).tolist()
+        m = blocks.unpacked(r.c).astype(int).tolist()
+        if r.kind == 1:
+            gain |= dict(zip(k, x, strict=True))
+            customers |= dict(zip(k, m, strict=True))
+        else:
+            rooms |= dict(zip(k, zip(m, x, strict=True), strict=True))
+    h = lambda w: int(next(words(pa.array([w]), SPACED)).hashes[0])
+    hashes = {w: h(w) for r in corpus for w in tok(r[1]) if w is not None} | {"<": int(pyp_lm.START)}
+    number = {int(x): i for i, x in enumerate(voc.hashes)}
+    dish = lambda w: voc.end if w is None else number.get(hashes[w], voc.rare)
+    pairs = lambda t: [(hashes[u] >> pyp_lm.BITS, dish(w)) for u, w in zip(["<", *t[:-1]], t, strict=True)]
+    seen = Counter((u << pyp_lm.BITS) | w for t in learned for u, w in pairs(t))
+    assert seen == customers
+    total = Counter()
+    for k, m in seen.items():
+        total[k >> pyp_lm.BITS] += m
+    assert total == {u: m for u, (m, _) in rooms.items()}
+    share_of = lambda u: (rooms[u][1] if u in rooms else 1.0, 1 + total[u])
+    for u in list(rooms)[:20]:
+        back, norm = share_of(u)
+        assert math.isclose((sum(g for k, g in gain.items() if k >> pyp_lm.BITS == u) + back) / norm, 1, rel_tol=1e-5)
+
+    def exact(t):
+        out = 0.0
+        for w, (u, k) in zip(t, pairs(t), strict=True):
+            back, norm = share_of(u)
+            out += math.log10((gain.get((u << pyp_lm.BITS) | k, 0.0) + back * model.parent[k]) / norm)
+            out += math.log10(float(model.rare(np.array([c[w]]))[0])) if k == voc.rare else 0
+        return out
+
+    mine = defaultdict(list)
+    for r in got:
+        mine[r.doc_id].append(r.score)
+    for i in {r[0] for r in corpus}:
+        assert np.allclose(sorted(mine[i]), sorted(exact(tok(r[1])) for r in corpus if r[0] == i), rtol=1e-4, atol=1e-3)
 
 
 def test_language_model_learns(spark):
@@ -494,50 +539,6 @@ def test_language_model_learns(spark):
     assert p.perplexity < 6 < 30 < p.base_perplexity
 
 
-@pytest.mark.parametrize("known", [1 << 18, 100])
-def test_language_model_is_brute_force_over_pairs(spark, monkeypatch, known):
-    """Words beyond the symbols are contexts and dishes: with one symbol the parent is known by hand."""
-    monkeypatch.setattr(pyp_lm, "SYMBOLS", 1)
-    monkeypatch.setattr(pyp_lm, "KNOWN", known)
-    rng = random.Random(11)
-    follow = {i: rng.sample(range(600), 2) for i in range(600)}
-
-    def chain():
-        w, out = rng.randrange(600), []
-        for _ in range(80):
-            w = rng.choice(follow[w])
-            out.append(f"t{w}")
-        return " ".join(out)
-
-    rows = [(i, chain(), None, None) for i in range(150)]
-    df = table(spark, rows)
-    model, counts = pyp_lm.train(df, where=F.col("doc_id") % 5 != 1)
-    scored = pyp_lm.score(df, model, counts)
-    p = pyp_lm.perplexity(scored.where("doc_id % 5 = 1")).first()
-    assert p.perplexity < 12 < 300 < p.base_perplexity
-    tok = lambda t: t.split()
-    seen = Counter(x for r in rows if r[0] % 5 != 1 for x in zip(["<", *tok(r[1])], [*tok(r[1]), ">"], strict=True))
-    single, word, n, m = Counter(seen.values()), Counter(), Counter(), Counter()
-    for (u, w), c in seen.items():
-        n[u] += c
-        m[u] += 1
-        word[w] += c
-    d = min(0.95, max(0.05, single[1] / (single[1] + 2 * single[2])))
-    assert math.isclose(d, model.pair_discount)
-    (symbol,) = [k for k, s in zip(model.vocabulary.hashes, model.vocabulary.symbol, strict=True) if s >= 0]
-    one = next(w for w in word if next(words(pa.array([w]), SPACED)).hashes[0] == symbol)
-    ctx, logp = model.contexts, model.logp.astype(np.float64)
-    for r in scored.collect():
-        t, last, klass, want = tok(rows[r.doc_id][1]), pyp_lm.LAST, pyp_lm.PREVIOUS + 1, 0.0
-        for u, w in zip(["<", *t], [*t, ">"], strict=True):
-            s = 0 if w == one else 1 if w == ">" else 2
-            parent = 10 ** logp[last * (pyp_lm.PREVIOUS + 2) + klass, s] * (float(model.other(np.array([word[w]]))[0]) if s == 2 else 1)
-            want += math.log10((max(seen[u, w] - d, 0) + (1 + d * m[u]) * parent) / (1 + n[u]))
-            last = 0 if w == one else last
-            klass = 0 if w == one else pyp_lm.PREVIOUS
-        assert math.isclose(r.score, want, rel_tol=1e-5)
-
-
 def test_language_model_empty(spark):
     df = table(spark, [(1, "a b", None, None), (2, None, None, None)])
     model, counts = pyp_lm.train(df.limit(0))
@@ -551,6 +552,37 @@ def test_seating():
     count = np.array([1, 2, 50, 5000, 200_000])
     t = pyp_lm.seat(count, np.full(5, 0.3), 0.5, rng)
     assert t[0] == 1 and (t >= 1).all() and (t <= count).all() and t[4] > t[2]
+    for mean, last in (pyp_lm.gibbs(np.zeros(5, int), count, np.full(5, 0.2), 0.5, rng), pyp_lm.gibbs(np.arange(5), count, np.full(5, 0.2), 0.5, rng)):
+        assert (mean >= 1).all() and (last <= count).all() and mean[0] == last[0] == 1 and mean[4] > mean[2]
+    mean, last = pyp_lm.gibbs(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0.5, rng)
+    assert len(mean) == len(last) == 0
+
+
+def test_gibbs_has_the_exact_posterior():
+    """Averages over many restaurants, against a sum over all seatings."""
+    counts, p, d, theta = (3, 6, 1), (0.3, 0.05, 0.2), 0.6, pyp_lm.STRENGTH
+
+    def ways(c):
+        out = {1: 1.0}
+        for i in range(1, c):
+            out = {t: out.get(t - 1, 0.0) + (i - d * t) * out.get(t, 0.0) for t in range(1, i + 2)}
+        return out
+
+    weight, want = 0.0, np.zeros(3)
+    for t in itertools.product(*(range(1, c + 1) for c in counts)):
+        w = math.prod(ways(c)[x] * q**x for c, x, q in zip(counts, t, p, strict=True)) * math.prod(theta + d * j for j in range(sum(t)))
+        weight += w
+        want += w * np.array(t)
+    many = 4000
+    mean, _ = pyp_lm.gibbs(np.repeat(np.arange(many), 3), np.tile(counts, many), np.tile(p, many), d, np.random.default_rng(2), (20, 10))
+    assert np.allclose(mean.reshape(many, 3).mean(axis=0), want / weight, atol=0.04)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
+def test_packed(x):
+    x = np.array(x, np.uint64)
+    assert (blocks.unpacked(blocks.packed(x)) == x).all() and (blocks.unpacked(blocks.packed(np.sort(x), True), True) == np.sort(x)).all()
 
 
 # 10 -------------------------------------------------------------------------------------
