@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -398,23 +399,49 @@ def test_neighbours_few(spark):
 # 8 --------------------------------------------------------------------------------------
 
 
-def test_block_max_is_exact():
+def test_block_max_is_exact(monkeypatch):
+    """Cosines of whole TF-IDF vectors, computed here from the texts alone."""
     rng = random.Random(8)
     bad = ["idiota", "basur", "merd"]
-    texts = [text(rng, 30, 60) + (" " + rng.choice(bad) + rng.choice(["", "os", "ita"]) if i % 4 == 0 else "") for i in range(400)]
-    m = toxicity.Model(list(range(400)), texts, np.array([i % 4 == 0 for i in range(400)]))
-    assert len(m.terms)
-    dense = np.zeros((400, len(m.terms)))
-    for t in range(len(m.terms)):
-        for b in range(m.blocks):
-            a, z = m.start[t * m.blocks + b], m.start[t * m.blocks + b + 1]
-            dense[m.row[m.post_row[a:z]], t] = m.post_w[a:z]
-    for i in range(0, 400, 7):
-        t = np.flatnonzero(dense[i])
-        score = dense @ dense[i]
-        want = sorted(((-round(s, 9), j) for j, s in enumerate(score) if s > 0))[:15]
-        assert [(-round(c, 9), j) for c, j in m.nearest(t, dense[i, t])] == want
-    assert m.score(m.nearest(*m._vector(np.zeros(0, np.uint64), np.zeros(0)))) < 0.05
+    texts = [text(rng, 30, 60 + 8 * (i % 50)) + (" " + rng.choice(bad) + rng.choice(["", "os", "ita"]) if i % 4 == 0 else "") for i in range(400)]
+    labels = np.array([i % 4 == 0 for i in range(400)])
+    examples = list(toxicity.bags(pa.array(texts)))
+    counts = [Counter([*t.split(), *(f"{w[:p]}~{p}" for w in t.split() for p in toxicity.STEMS if len(w) > p)]) for t in texts]
+    df, d1 = Counter(w for c in counts for w in c), Counter(w for c, y in zip(counts, labels, strict=True) for w in c if y)
+    vocabulary = sorted(df)
+
+    def weight(w):
+        a, b = d1[w], df[w] - d1[w]
+        gain = 2 * ((a * math.log(a / (df[w] * 0.25)) if a else 0) + (b * math.log(b / (df[w] * 0.75)) if b else 0)) if a > df[w] * 0.25 else 0
+        return (math.log(401 / (1 + df[w])) + 1) * (1 + math.sqrt(max(0, gain - toxicity.CHANCE)))
+
+    weights = {w: weight(w) for w in vocabulary}
+    dense = np.array([[(1 + math.log(c[w])) * weights[w] if c[w] else 0.0 for w in vocabulary] for c in counts])
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    for often in (4, 100):
+        monkeypatch.setattr(toxicity, "FREQUENT", often)
+        m = toxicity.Model(list(range(400)), examples, labels)
+        assert len(m.terms) == len(vocabulary)
+        for i in range(0, 400, 7):
+            score = np.round(dense @ dense[i], 9)
+            want = sorted((-s, j) for j, s in enumerate(score) if s > 0)[:15]
+            got = m.nearest(*m.vector(*examples[i]))
+            assert [j for _, j in got] == [j for _, j in want] and np.allclose([c for c, _ in got], [-s for s, _ in want], atol=2e-9)
+            assert i not in [j for _, j in m.nearest(*m.vector(*examples[i]), leave=i)]
+    assert m.score(m.nearest(*m.vector(np.zeros(0, np.uint64), np.zeros(0)))) < 0.3
+
+
+def test_toxicity_on_documents(spark):
+    """Held-out rows of the real table: the model finds most toxic ones and leaves clean ones alone, and nearly every text has neighbours."""
+    from quirestream.llm import queries as Q
+
+    data = "/root/testdata/sf0.1"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables here")
+    got = Q.op8_toxicity(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out").select("toxic", "predicted", "evidence").collect()
+    toxic, clean = [r for r in got if r.toxic == 1], [r for r in got if r.toxic == 0]
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    assert sum(r.evidence == "[]" for r in got) < 0.05 * len(got)
 
 
 def test_toxicity(spark):
