@@ -3,9 +3,12 @@
 A text's set is its distinct ``k``-word shingles. Two texts link when the intersection is
 at least ``sim`` percent of the union. The result is exact but for 64-bit hashes.
 
-1. Sets are written once, as sorted hashes. Texts with the same set are one class.
-2. Which sets can meet at all: shingles are ordered from rare to frequent (a count
-   sketch of fixed size over all texts), and two sets that link share one of the first
+1. All shingles of all texts are counted once, packed (``heads``). A set whose own
+   shingles, which no other text has, are more than it may have apart from a similar one
+   links with nothing, and that is most of the sets of a corpus. Texts with the same set
+   are one class. Only the sets of the classes that are left are written.
+2. Which of these can meet at all: shingles are ordered from rare to frequent (a count
+   sketch of fixed size over these sets), and two sets that link share one of the first
    n - ceil(sim n) + 1 of each. Sets that share such a shingle form a bundle; bundles of
    the same members are one. A passage that very many texts share stands last in the
    order and makes no bundle.
@@ -23,8 +26,10 @@ at least ``sim`` percent of the union. The result is exact but for 64-bit hashes
 Only edges that join two components are written (fewer than there are rows).
 
 Defined results: A-Z are lower-cased; a text of fewer than ``k`` words is one shingle; no
-words or a null text: empty set, linked with nothing; a null id gets no links and a null
-component; repeated rows are in one component; an empty table gives an empty result.
+words or a null text: empty set, linked with nothing; ids may be of any type that has an
+order; a null id gets no links and a null component; repeated rows are in one component,
+rows of one id with different texts each in that of their text; an empty table gives an empty result;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,16 +38,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirestream.llm.blocks import BLOCK, dealt, lanes_for, packed, spread, unpacked
 from quirestream.llm.graph import components
-from quirestream.llm.staging import parts, stage
+from quirestream.llm.staging import parts, small_batches, stage
 from quirestream.llm.tokens import SPACED, U, grams, mix64, words
 
 K, SIM = 5, 80
 #: Counters of the frequency sketch; members of a bundle that one task joins; ids that are broadcast at most.
 SKETCH, CHUNK, SEND = 1 << 22, 2048, 1_000_000
+#: Rows of one block of shingles at most.
+ROWS = 1 << 16
 FANOUT = 8
 
 
@@ -59,23 +68,136 @@ def shingle_sets(column: pa.Array, k: int = K) -> Iterator[np.ndarray]:
                 yield np.zeros(0, U)
 
 
-def set_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, n, key1, key2 (128 bits of the set) and the set itself."""
+def _key(s: np.ndarray) -> int:
+    """The name of a set, from its shingles."""
+    return int(mix64(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U))
+
+
+def _long(x: list[int]) -> pa.Array:
+    return pa.array(np.array(x, U).view(np.int64))
+
+
+def set_table(docs: DataFrame, text_col: str, k: int) -> DataFrame:
+    """id (the set's name), n and the set itself, of each row that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [s for s in shingle_sets(b.column(0), k) if len(s)]
+            for i in range(0, len(sets), 1000):
+                some = sets[i : i + 1000]
+                yield pa.RecordBatch.from_arrays([_long([_key(s) for s in some]), pa.array([len(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary())], ["id", "n", "grams"])
+
+    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "id long, n long, grams binary")
+
+
+def heads(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """id, n, key (the set's name, null without shingles) and lonely: how many of the
+    shingles surely occur in no other row.
+
+    The shingles of a block of rows go out packed, by lanes of their hash, cut to the bits
+    that tell the shingles of this input apart; a lane sees all rows of a shingle and
+    answers with counts for the rows of each block."""
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    lanes = lanes_for(size // 6, parts(spark))
+    short = U(max(0, 64 - max(32, size.bit_length() + 5)))
+    lists = f"id array<{kind}>, n array<long>, key array<long>"
+    names = ["block", "lane", "kind", "k", "c", "id", "n", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId() << 32, 0
+        ids: list[pa.Array] = []
+        held: list[np.ndarray] = []
+        total = 0
+
+        def send() -> pa.RecordBatch:
+            nonlocal seen
+            block, seen = part + seen, seen + 1
+            n = np.array([len(s) for s in held])
+            every, row = np.concatenate(held), np.repeat(np.arange(len(held)), n)
+            order = np.argsort(every, kind="stable")
+            every, row = every[order], row[order]
+            out = [(lane, packed(every[at] >> short, True), packed(row[at])) for lane, at in dealt(spread(every, lanes))]
+            m = len(out)
+            cols = [pa.array([block] * (m + 1)), pa.array([x[0] for x in out] + [block % lanes]), pa.array([0] * m + [5], pa.int32()), *(pa.array([x[i] for x in out] + [None], pa.binary()) for i in (1, 2))]
+            keys = _long([_key(s) for s in held])
+            own = [pa.concat_arrays(ids), pa.array(n.astype(np.int64)), pa.array(keys.to_numpy(), mask=n == 0)]
+            return pa.RecordBatch.from_arrays([*cols, *(pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [len(held)], pa.int32()), x) for x in own)], names)
+
         for b in batches:
-            n, one, two, data = [], [], [], []
-            for s in shingle_sets(b.column(1), k):
-                n.append(len(s))
-                one.append(int(mix64(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)))
-                two.append(int(mix64(s + U(0x14057B7EF767814F)).sum(dtype=U)))
-                data.append(s.tobytes())
-            for i in range(0, len(n), 1000):
-                j = i + 1000
-                key = [pa.array(np.array(x[i:j], U).view(np.int64)) for x in (one, two)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).cast(pa.int64()), pa.array(n[i:j], pa.int64()), *key, pa.array(data[i:j], pa.binary())], ["id", "n", "key1", "key2", "grams"])
+            at = 0
+            for i, s in enumerate(shingle_sets(b.column(1), k)):
+                held.append(s)
+                total += len(s)
+                if total >= BLOCK or len(held) >= ROWS:
+                    ids.append(b.column(0).slice(at, i + 1 - at))
+                    at = i + 1
+                    yield send()
+                    ids, held, total = [], [], 0
+            if at < b.num_rows:
+                ids.append(b.column(0).slice(at))
+        if held:
+            yield send()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, got = None, []
+
+        def solve() -> pa.RecordBatch:
+            sizes = [len(x) for _, x, _ in got]
+            every = np.concatenate([x for _, x, _ in got])
+            order = np.argsort(every, kind="stable")
+            in_order = every[order]
+            same = np.concatenate([[False], in_order[1:] == in_order[:-1], [False]])
+            alone = np.zeros(len(every), bool)
+            alone[order] = ~(same[1:] | same[:-1])
+            out = []
+            for (block, _, row), mark in zip(got, np.split(alone, np.cumsum(sizes)[:-1]), strict=True):
+                count = np.bincount(row[mark].astype(np.int64))
+                who = np.flatnonzero(count)
+                out.append((block, packed(who, True), packed(count[who])))
+            none = [pa.nulls(len(out), t) for t in types]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([lane] * len(out)), pa.array([4] * len(out), pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2)), *none], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n long, key1 long, key2 long, grams binary")
+        for b in batches:
+            types = [c.type for c in b.columns[5:]]
+            own = np.flatnonzero(b.column(2).to_numpy() == 5)
+            if len(own):
+                yield b.take(pa.array(own))
+            for block, at, what, x, row in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True):
+                if at != lane:
+                    if got:
+                        yield solve()
+                    lane, got = at, []
+                if what == 0:
+                    got.append((block, unpacked(x, True), unpacked(row).astype(np.uint32)))
+        if got:
+            yield solve()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a block's own row comes before its counts
+        block = own = None
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(c.flatten() for c in own), pa.array(lonely)], ["id", "n", "key", "lonely"])
+
+        for b in batches:
+            for i, (name, what, who, count) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True)):
+                if what == 5:
+                    if own is not None:
+                        yield rows()
+                    block, own = name, [c.slice(i, 1) for c in b.columns[5:]]
+                    lonely = np.zeros(len(own[1].flatten()), np.int64)
+                elif name == block:
+                    lonely[unpacked(who, True).astype(np.int64)] += unpacked(count).astype(np.int64)
+        if own is not None:
+            yield rows()
+
+    schema = f"block long, lane long, kind int, k binary, c binary, {lists}"
+    sent = docs.select(F.col(id_col), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    answers = sent.repartition(lanes, "lane").sortWithinPartitions("lane", "block").mapInArrow(answer, schema)
+    by_block = answers.repartition(parts(spark), "block").sortWithinPartitions("block", F.desc("kind"))
+    return by_block.mapInArrow(gather, f"id {kind}, n long, key long, lonely long")
 
 
 def _views(column: pa.Array) -> list[np.ndarray]:
@@ -136,27 +258,19 @@ def needed(total: np.ndarray | int, sim: int) -> np.ndarray | int:
 def _prefixes(sets: DataFrame, level, sim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = level.value
-        seen: set[int] = set()  # 8 bytes for each set of this task
         for b in batches:
-            ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-            token, who, at = [], [], []
-            for i, s in enumerate(_views(b.column(2))):
-                key = int(keys[i])
-                if len(s) == 0 or key in seen:
-                    continue
-                seen.add(key)
+            ids = b.column(0).to_numpy()
+            token, at = [], []
+            for s in _views(b.column(1)):
                 p = prefix_length(len(s), sim)
                 order = lv[(s & U(SKETCH - 1)).astype(np.int64)]
-                head = s[np.argsort(order, kind="stable")[:p]]
-                token.append(head)
-                who.append(i)
+                token.append(s[np.argsort(order, kind="stable")[:p]])
                 at.append(p)
             if token:
-                rep = np.repeat(np.array(who), at)
-                n = np.repeat(np.array([len(x) for x in token]), at)  # prefix lengths stand for sizes
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(ids[rep]), pa.array(keys[rep]), pa.array(n.astype(np.int32))], ["token", "id", "key", "p"])
+                n = np.repeat(np.array(at), at)  # prefix lengths stand for sizes
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(ids, at)), pa.array(n.astype(np.int32))], ["token", "id", "p"])
 
-    return sets.where("id is not null and n > 0").select("id", "key1", "grams").mapInArrow(run, "token long, id long, key long, p int")
+    return sets.select("id", "grams").mapInArrow(run, "token long, id long, p int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[list[np.ndarray]]:
@@ -187,23 +301,20 @@ def bundles(prefixes: DataFrame, sim: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for token, ids, keys, p in _runs(batches):
+        for token, ids, p in _runs(batches):
             edge = np.flatnonzero(np.diff(token)) + 1
             lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(token)]])
             many = hi - lo > 1
             out_b, out_i = [], []
             for a, z in zip(lo[many].tolist(), hi[many].tolist(), strict=True):
-                order = np.lexsort((ids[a:z], keys[a:z]))
-                k = keys[a:z][order]
-                first = np.concatenate([[True], k[1:] != k[:-1]])
-                if first.sum() < 2:
+                who, first = np.unique(ids[a:z], return_index=True)
+                if len(who) < 2:
                     continue
-                who, size = ids[a:z][order][first], p[a:z][order][first]
+                size = p[a:z][first]
                 # prefixes grow with sets: where they are too far apart, so are the sets
                 by = np.sort(size)
                 if not (by[:-1] + 2 >= by[1:] * (sim / 100) - 2).any():
                     continue
-                who = np.sort(who)
                 name = _name(who)
                 if name not in seen:
                     seen.add(name)
@@ -249,12 +360,12 @@ def loads(s: np.ndarray, buckets: int) -> np.ndarray:
     return np.minimum(np.bincount((s & U(buckets - 1)).astype(np.int64), minlength=buckets), 15).astype(np.uint8)
 
 
-def packed(load: np.ndarray) -> bytes:
+def nibbles(load: np.ndarray) -> bytes:
     """Two buckets a byte: the short form of a bitmap, as it is shuffled."""
     return (load[::2] | load[1::2] << 4).tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def from_nibbles(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     return np.stack([raw & 15, raw >> 4], axis=1).reshape(-1)
 
@@ -359,15 +470,20 @@ def signatures(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            maps = [packed(loads(s, _buckets(len(s)))) for s in _views(b.column(2))]
+            maps = [nibbles(loads(s, _buckets(len(s)))) for s in _views(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(maps, pa.binary())], ["id", "n", "bits"])
 
-    return _only(sets.where("n > 0").select("id", "n", "grams"), ids).mapInArrow(run, "id long, n long, bits binary").dropDuplicates(["id"])
+    return _only(sets, ids).mapInArrow(run, "id long, n long, bits binary").dropDuplicates(["id"])
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """``ids``, to be sent to all tasks if they are ``SEND`` at most."""
+    return F.broadcast(ids) if ids.count() <= SEND else ids
 
 
 def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is in ``ids``; these are sent to all tasks up to ``SEND`` of them."""
-    return sets.join(F.broadcast(ids) if ids.count() <= SEND else ids, "id", "left_semi")
+    """Rows whose id is in ``ids``."""
+    return sets.join(_sent(ids), "id", "left_semi")
 
 
 def _by_bundle(rows: DataFrame, solve, schema: str) -> DataFrame:
@@ -401,7 +517,7 @@ def _links(rows: DataFrame, sets: DataFrame, signs: DataFrame, sim: int) -> Data
 
     def cut(bundle: list, ids: list, labels: list, sides: list, n: list, bits: list) -> list[tuple]:
         side = np.array(sides) if len(set(sides)) > 1 else None
-        ok = possible(np.array(n), [unpacked(x) for x in bits], np.array(labels), sim, side)
+        ok = possible(np.array(n), [from_nibbles(x) for x in bits], np.array(labels), sim, side)
         left = np.flatnonzero(ok).tolist()
         # what is left of several bundles is often the same: it is then one bundle
         name = _name(np.sort(np.array([ids[i] for i in left], np.int64))) if left else 0
@@ -413,7 +529,7 @@ def _links(rows: DataFrame, sets: DataFrame, signs: DataFrame, sim: int) -> Data
 
     left = _by_bundle(rows.join(signs, "id").select("bundle", "id", "label", "side", "n", "bits"), cut, "bundle long, id long, label long, side long")
     left = stage(left.distinct(), "possible")
-    wanted = _only(sets.where("n > 0").select("id", "grams"), stage(left.select("id").distinct(), "ids")).dropDuplicates(["id"])
+    wanted = _only(sets.select("id", "grams"), stage(left.select("id").distinct(), "ids")).dropDuplicates(["id"])
     return _by_bundle(left.join(wanted, "id").select("bundle", "id", "label", "side", "grams"), solve, "a long, b long")
 
 
@@ -462,15 +578,21 @@ def similar_sets(sets: DataFrame, sim: int = SIM) -> DataFrame:
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, sim: int = SIM) -> DataFrame:
     """``id_col``, ``n_shingles``, ``set_id`` (least id with the same set) and ``component_id`` of every row."""
-    sets = stage(set_table(docs, id_col, text_col, k), "sets")
-    labels = stage(components(similar_sets(sets, sim)), "labels")
-    rows = sets.select("id", "n", "key1", "key2")
-    keys = ["key1", "key2", "n"]
-    classes = rows.where("n > 0 and id is not null").groupBy(*keys).agg(F.min("id").alias("set_id"))
-    own = rows.where("n > 0").join(labels, "id").groupBy(*keys).agg(F.min("component").alias("label"))
-    classes = stage(classes.join(own, keys, "left"), "classes")
-    joined = classes.where("label is not null").groupBy("label").agg(F.min("set_id").alias("least"))
-    classes = classes.join(joined, "label", "left").select(*keys, "set_id", F.coalesce("least", "set_id").alias("component_id"))
-    out = rows.join(classes, keys, "left")
+    small_batches(docs.sparkSession)
+    rows = stage(heads(docs, id_col, text_col, k), "heads")
+    classes = rows.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("set_id"), F.max("n").alias("n"), F.max("lonely").alias("lonely"))
+    classes = stage(classes, "classes")
+    # a set links with none if more of its shingles are its own than it may have apart from another
+    some = classes.where(F.col("lonely") <= F.col("n") - F.ceil(F.col("n") * sim / 100)).select("key", "set_id")
+    some = stage(some, "some")
+    texts = docs.select(F.col(id_col).alias("set_id"), F.col(text_col).alias("t"))
+    texts = texts.join(_sent(some.select("set_id").distinct()), "set_id", "left_semi")
+    sets = set_table(texts, "t", k).join(_sent(some.select(F.col("key").alias("id"))), "id", "left_semi")
+    labels = components(similar_sets(stage(sets, "sets"), sim))
+    classes = classes.join(labels.withColumnRenamed("id", "key"), "key", "left").select("key", "set_id", F.coalesce("component", "key").alias("label"))
+    classes = stage(classes, "labelled")
+    least = classes.groupBy("label").agg(F.min("set_id").alias("component_id"))
+    classes = classes.join(least, "label").select("key", "set_id", "component_id")
+    out = rows.join(classes, "key", "left")
     alone = F.col("id").isNull() | (F.col("n") == 0)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), *(F.when(alone, F.col("id")).otherwise(F.col(c)).alias(c) for c in ("set_id", "component_id")))
