@@ -12,7 +12,8 @@ a larger one is joined by shuffled fingerprints. Both ways give the same rows.
 Defined results: null or wordless texts have no words, no hits and are clean; an item
 of fewer than ``span`` words is one window, looked up at its own length; wordless items
 match nothing; repeated rows give repeated results; repeated item rows count once;
-an item without id counts as the id ''; other columns are left alone.
+an item without id counts as the id ''; other columns are left alone, and where one has
+the name of a result the result's name gets a ``_``.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirestream.llm.naming import free
 from quirestream.llm.staging import small_batches
 from quirestream.llm.tokens import ALNUM, gram_starts, grams, words
 
@@ -143,23 +145,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         found = _with_hits(docs, text_col, lambda: ix.value, span, k)
     else:
         found = _joined(docs, items, text_col, span, k)
-    bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return found.select(*names, "n_words", "n_hit", "items", bad.alias("contaminated"))
+    n_words, n_hit, items_, bad = free(names, "n_words", "n_hit", "items", "contaminated")
+    return found.withColumn(bad, (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))).select(*names, n_words, n_hit, items_, bad)
 
 
 def _with_hits(docs: DataFrame, text_col: str, index, span: int, k: int) -> DataFrame:
     at = docs.columns.index(text_col)
+    names = free(docs.columns, "n_words", "n_hit", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index()
         for b in batches:
             n, h, i = scan(b.column(at), ix, span, k)
             more = [pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(i, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *names])
 
     from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-    more = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType()))]
+    more = [StructField(n, t) for n, t in zip(names, (LongType(), LongType(), ArrayType(StringType())), strict=True)]
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
 
 
@@ -184,13 +187,14 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, span: int, k: int)
                 rows, keys = np.concatenate(rows), np.concatenate(keys)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows + w.first)), pa.array(keys.view(np.int64))], ["id", "print"])
 
+    key, name, found = free(docs.columns, "key", "met", "found")
     # items have short lengths of their own only: a full-length window never equals one
     count = F.size(F.regexp_extract_all(F.lower("t"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
     lengths = [r.n for r in items.select(count.alias("n")).where(f"n > 0 and n < {span}").distinct().collect()]
     left = docs.select(F.xxhash64(text_col).alias("id"), text_col).mapInArrow(lambda b: prints(b, lengths), "id long, print long").distinct()
     right = items.mapInArrow(lambda b: prints(b, lengths), "id string, print long").withColumnRenamed("id", "i").distinct()
-    met = left.join(right, "print").select("id", "i").distinct().join(items, "i").groupBy(F.col("id").alias("__key")).agg(F.collect_set(F.struct("i", "t")).alias("__met"))
-    both = docs.withColumn("__key", F.xxhash64(text_col)).join(met, "__key", "left")
+    met = left.join(right, "print").select("id", "i").distinct().join(items, "i").groupBy(F.col("id").alias(key)).agg(F.collect_set(F.struct("i", "t")).alias(name))
+    both = docs.withColumn(key, F.xxhash64(text_col)).join(met, key, "left")
 
     @F.pandas_udf(RESULT)
     def each(text: pd.Series, met: pd.Series) -> pd.DataFrame:
@@ -201,7 +205,9 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, span: int, k: int)
             out.append((n[0], h[0], i[0]))
         return pd.DataFrame(out, columns=["n_words", "n_hit", "items"])
 
-    return both.withColumn("__r", each(text_col, "__met")).select(*docs.columns, "__r.n_words", "__r.n_hit", "__r.items")
+    results = ("n_words", "n_hit", "items")
+    both = both.withColumn(found, each(text_col, name))
+    return both.select(*docs.columns, *(F.col(found)[x].alias(y) for x, y in zip(results, free(docs.columns, *results), strict=True)))
 
 
 def items_digest(items: pd.Series) -> pd.Series:

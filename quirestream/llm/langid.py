@@ -30,6 +30,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirestream.llm.naming import free
 from quirestream.llm.sampling import smallest_hashes
 from quirestream.llm.staging import small_batches
 
@@ -59,12 +60,13 @@ def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     if where is not None:
         rows = rows.where(where)
-    ids = smallest_hashes(rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("l")), "l", "i", MAX_DOCS)
+    rows = rows.select(F.col(id_col).alias("i"), F.col(label_col).alias("l"), F.col(text_col).alias("t"))
+    ids = smallest_hashes(rows.select("i", "l"), "l", "i", MAX_DOCS)
     picked = {(r.l, r.i): r.rank for r in ids.collect()}  # MAX_DOCS a language
     wanted = docs.sparkSession.createDataFrame([(i,) for _, i in picked], f"i {docs.schema[id_col].dataType.simpleString()}") if picked else None
     out: dict[str, list[tuple[int, str]]] = {}
     if wanted is not None:
-        for r in rows.join(F.broadcast(wanted.distinct()), F.col(id_col) == F.col("i"), "left_semi").select(F.col(id_col).alias("i"), F.col(label_col).alias("l"), F.substring(text_col, 1, DOC_CHARS).alias("t")).toLocalIterator():
+        for r in rows.join(F.broadcast(wanted.distinct()), "i", "left_semi").select("i", "l", F.substring("t", 1, DOC_CHARS).alias("t")).toLocalIterator():
             if (r.l, r.i) in picked:
                 out.setdefault(r.l, []).append((picked[r.l, r.i], r.t))
     return {k: [t for _, t in sorted(v)] for k, v in out.items()}
@@ -160,7 +162,8 @@ def train(docs: DataFrame, **columns) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``language``: lang_pred, score, margin, rejected."""
+    """``docs`` with the struct column ``language``: lang_pred, score, margin, rejected; where
+    a column has that name, the result's gets a ``_``."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -169,4 +172,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for b in batches:
             yield shared.value.predict(b)
 
-    return docs.withColumn("language", udf(F.col(text_col)))
+    return docs.withColumn(free(docs.columns, "language")[0], udf(F.col(text_col)))

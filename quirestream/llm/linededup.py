@@ -9,7 +9,8 @@ boilerplate hashes, which ratio bounds: at most (mean lines a page) / ``max_rati
 Defined results: lines are trimmed of spaces and tabs for the comparison; empty lines
 are never boilerplate and stay where they are; a null text or host gives no lines or
 the host ''; a line that is repeated on a page counts once for it; repeated rows count
-as pages of their own; an empty table gives an empty result; other columns stay.
+as pages of their own; an empty table gives an empty result; other columns stay, and
+where one has the name of a result the result's name gets a ``_``.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirestream.llm.naming import free
 from quirestream.llm.staging import stage
 
-#: Share of a host's pages from which a line is boilerplate, and fewest pages.
-MAX_RATIO, MIN_PAGES = 0.2, 5
+#: Share of a host's pages from which a line is boilerplate, and fewest pages: one alone repeats nothing.
+MAX_RATIO, MIN_PAGES = 0.2, 2
 
 #: Boilerplate hashes of all hosts (8 bytes each) that are sent to every task at most.
 SEND = 1_000_000
@@ -56,19 +58,21 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float,
     lines = pages.select(host.alias("host"), F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: ~_blank(x)), _key)).alias("keys"))
     totals = lines.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = lines.select("host", F.explode_outer("keys").alias("key")).where("key is not null").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("__drop"))
+    return counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("drop"))
 
 
 def drop_boilerplate(pages: DataFrame, *, host: Column, text: Column, out: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with ``out`` holding the text without boilerplate lines, and with the
     columns ``n_lines`` and ``n_dropped`` (non-empty lines seen and dropped)."""
-    drops = stage(boilerplate(pages, host, text, max_ratio, min_pages).withColumnRenamed("host", "__host"), "boilerplate")
-    if (drops.agg(F.sum(F.size("__drop"))).first()[0] or 0) <= SEND:  # else pages and hashes meet in a shuffle
+    seen, gone = free([*pages.columns, out], "n_lines", "n_dropped")
+    site, every, drop, kept = free([*pages.columns, out, seen, gone], "host", "lines", "drop", "kept")
+    drops = stage(boilerplate(pages, host, text, max_ratio, min_pages).toDF(site, drop), "boilerplate")
+    if (drops.agg(F.sum(F.size(drop))).first()[0] or 0) <= SEND:  # else pages and hashes meet in a shuffle
         drops = F.broadcast(drops)
-    lines = pages.withColumn("__host", host).withColumn("__lines", F.split(text, "\n"))
-    joined = lines.join(drops, "__host", "left")
-    none = F.col("__drop").isNull()
-    kept = F.when(none, F.col("__lines")).otherwise(F.filter("__lines", lambda x: _blank(x) | ~F.array_contains(F.col("__drop"), _key(x))))
+    joined = pages.withColumn(site, host).withColumn(every, F.split(text, "\n")).join(drops, site, "left")
+    none = F.col(drop).isNull()
+    left = F.when(none, F.col(every)).otherwise(F.filter(every, lambda x: _blank(x) | ~F.array_contains(F.col(drop), _key(x))))
     full = lambda c: F.coalesce(F.size(F.filter(c, lambda x: ~_blank(x))), F.lit(0)).cast("long")
-    joined = joined.withColumn("__kept", kept).withColumn("n_lines", full("__lines"))
-    return joined.withColumn("n_dropped", F.when(none, F.lit(0).cast("long")).otherwise(F.col("n_lines") - full("__kept"))).withColumn(out, F.array_join("__kept", "\n")).drop("__host", "__lines", "__drop", "__kept")
+    joined = joined.withColumn(kept, left).withColumn(seen, full(every))
+    joined = joined.withColumn(gone, F.when(none, F.lit(0).cast("long")).otherwise(F.col(seen) - full(kept))).withColumn(out, F.array_join(kept, "\n"))
+    return joined.select(*dict.fromkeys([*pages.columns, out, seen, gone]))

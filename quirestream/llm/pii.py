@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirestream.llm.naming import free
 from quirestream.llm.staging import small_batches
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
@@ -130,7 +131,8 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the struct column ``pii``: spans (kind, start, end, in order), as
-    text, the count of each base kind and the digest of the base spans."""
+    text, the count of each base kind and the digest of the base spans; where a column has
+    that name, the result's gets a ``_``."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("found array<struct<kind:string,start:int,end:int>>, spans string, base_sha256 string, n_email long, n_ip long, n_card long, n_phone long")
@@ -144,4 +146,4 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 rows.append(([{"kind": k, "start": s, "end": e} for s, e, k in spans], joined(spans), hashlib.sha256(joined(base).encode()).hexdigest(), *(sum(x[2] == k for x in base) for k in BASE)))
             yield pd.DataFrame(rows, columns=["found", "spans", "base_sha256", "n_email", "n_ip", "n_card", "n_phone"])
 
-    return docs.withColumn("pii", udf(F.col(text_col)))
+    return docs.withColumn(free(docs.columns, "pii")[0], udf(F.col(text_col)))

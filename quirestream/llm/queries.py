@@ -128,7 +128,7 @@ WITH t AS (
 l AS (SELECT page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
 k AS (SELECT *, trim(translate(line, chr(9) || chr(13), '  '), ' ') AS key FROM l),
 totals AS (SELECT host, count(*) AS pages FROM t GROUP BY host),
-bad AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT page_id) AS n FROM k WHERE key <> '' GROUP BY host, key) JOIN totals USING (host) WHERE n >= 5 AND n > 0.2 * pages)
+bad AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT page_id) AS n FROM k WHERE key <> '' GROUP BY host, key) JOIN totals USING (host) WHERE n >= 2 AND n > 0.2 * pages)
 SELECT k.page_id, k.host, CAST(count(*) FILTER (key <> '') AS BIGINT) AS n_lines, CAST(count(*) FILTER (bad.key IS NOT NULL) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (bad.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN bad USING (host, key) GROUP BY k.page_id, k.host

@@ -82,7 +82,7 @@ def test_pipeline(spark):
             pages = Counter(r.source for r in before.values())
             seen = Counter((r.source, x) for r in before.values() for x in {y.strip(" \t\r") for y in r.text.split("\n")} - {""})
             for i, r in before.items():
-                kept = [x for x in r.text.split("\n") if not (seen[r.source, x.strip(" \t\r")] >= 5 and seen[r.source, x.strip(" \t\r")] > 0.2 * pages[r.source])]
+                kept = [x for x in r.text.split("\n") if not (seen[r.source, x.strip(" \t\r")] >= 2 and seen[r.source, x.strip(" \t\r")] > 0.2 * pages[r.source])]
                 assert after[i].text == "\n".join(kept) and after[i].n_chars == len(after[i].text)
         elif name == "ngram_jaccard_join":
             assert set(after) == {c for _, c in brute_components([(i, r.text) for i, r in before.items()]).values()}

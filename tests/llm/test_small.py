@@ -618,13 +618,13 @@ def test_packed(x):
 def test_lines(spark):
     rows = [(i, f"https://User@A.com:8080/{i}", f"menu\n text {i}\n\nsame\tline \nfooter\r") for i in range(10)] + [(20, "http://b.com/1", "menu\nfooter"), (21, None, "menu"), (22, "nonsense", None), (23, "http://c.com", "")]
     rows += [(30 + i, "http://d.com/x", "twice\ntwice\nonly " + str(i)) for i in range(4)]
-    df = spark.createDataFrame(rows, "page_id long, url string, t string").withColumn("n_lines", F.lit("old"))
-    got = {r.page_id: r for r in linededup.drop_boilerplate(df.drop("n_lines"), host=linededup.host_of(F.col("url")), text=F.col("t"), out="kept").collect()}
+    df = spark.createDataFrame(rows, "page_id long, url string, t string").withColumn("n_lines", F.lit("old")).withColumn("host", F.lit(1)).withColumn("lines", F.lit(2)).withColumn("kept_", F.lit(3))
+    got = {r.page_id: r for r in linededup.drop_boilerplate(df, host=linededup.host_of(F.col("url")), text=F.col("t"), out="kept").collect()}
     assert len(got) == len(rows)
-    assert got[3].kept == " text 3\n" and (got[3].n_lines, got[3].n_dropped) == (4, 3)
-    assert got[20].kept == "menu\nfooter" and got[21].kept == "menu" and got[22].kept is None and got[22].n_lines == 0 and got[23].kept == ""
-    assert got[30].n_dropped == 0  # four pages are too few
-    assert linededup.drop_boilerplate(df.limit(0).drop("n_lines"), host=F.lit("h"), text=F.col("t")).count() == 0
+    assert got[3].kept == " text 3\n" and (got[3].n_lines, got[3].n_lines_, got[3].n_dropped) == ("old", 4, 3)
+    assert got[20].kept == "menu\nfooter" and got[21].kept == "menu" and got[22].kept is None and got[22].n_lines_ == 0 and got[23].kept == ""
+    assert got[30].n_dropped == 2 and got[30].kept == "only 0"  # a line on one page alone repeats nothing
+    assert linededup.drop_boilerplate(df.limit(0), host=F.lit("h"), text=F.col("t")).count() == 0
 
 
 def test_html_lines(spark):
@@ -644,3 +644,43 @@ def test_smallest_hashes(spark):
     want = [r.i for r in df.where("g = 'many'").orderBy(F.xxhash64("i"), "i").limit(100).collect()]
     assert [r.i for r in got.where("g = 'many'").orderBy("rank").collect()] == want and got.where("g = 'few'").count() == 30
     assert smallest_hashes(df, "g", "i", {"few": 5}).count() == 5
+
+
+# columns whose names the operators use, too ---------------------------------------------
+
+CLASH = ["i", "l", "t", "y", "h", "c", "k", "x", "id", "n", "key", "lane", "kind", "block", "row", "rank", "label", "host", "lines", "drop", "kept", "met", "found", "items", "n_words", "n_hit", "contaminated", "score", "predicted", "evidence", "language", "pii", "n_lines", "n_dropped", "size", "target", "taken", "copies", "component", "component_id", "n_shingles", "set_id", "n_tokens", "total", "spans", "sha", "name", "around", "pos", "vec", "q", "v", "__h", "__n"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Every such name as an extra column; ids as text, null and repeated; one text of 1 MB."""
+    rng = random.Random(21)
+    rows = [(f"d{i}", text(rng, 30), "xy"[i % 2], f"s{i % 2}") for i in range(12)] + [("d1", text(rng, 30), "x", "s0"), (None, text(rng, 20), None, None), (None, None, None, None), ("long", text(rng, 200_000), "x", "s1"), ("", "", "y", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    return df.select("*", *(F.lit(f"old {x}").alias(x) for x in CLASH)).repartition(3).cache()
+
+
+@pytest.mark.parametrize("name", ["mixing", "jaccard", "langid", "decontam", "shuffled decontam", "pii", "repeats", "toxicity", "language model", "lines"])
+@pytest.mark.parametrize("empty", [False, True])
+def test_clashing_columns(spark, clashing, name, empty):
+    df = clashing.limit(0) if empty else clashing
+    items = spark.createDataFrame([(None, "w1 w2"), ("b", None)], "item_id string, text string").withColumn("i", F.lit(0)).withColumn("t", F.lit(0))
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(10)], "doc_id string, toxic int").withColumn("y", F.lit(0)).withColumn("i", F.lit(0))
+    run = {
+        "mixing": lambda: mixing.mix_to_weights(df),
+        "jaccard": lambda: jaccard.near_copies(df),
+        "langid": lambda: langid.identify(df, langid.train(df)),
+        "decontam": lambda: decontam.contamination(df, items),
+        "shuffled decontam": lambda: decontam.contamination(df, items, broadcast_bytes=0),
+        "pii": lambda: pii.detect(df),
+        "repeats": lambda: repeats.repeated_spans(df),
+        "toxicity": lambda: toxicity.score(df, toxicity.train(df, labels)),
+        "language model": lambda: pyp_lm.score(df, *pyp_lm.train(df)),
+        "lines": lambda: linededup.drop_boilerplate(df, host=F.col("source"), text=F.col("text")),
+    }[name]
+    out = run()
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    got = out.collect()
+    assert len(got) == (0 if empty else 17) and Counter(r.doc_id for r in got) == Counter(r.doc_id for r in df.select("doc_id").collect())
+    if name in ("langid", "decontam", "shuffled decontam", "pii", "toxicity", "lines"):
+        assert out.columns[: len(df.columns)] == df.columns and all(r[c] == f"old {c}" for r in got for c in CLASH)
