@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirestream.llm import decontam, jaccard, langid, linededup, mixing
+from quirestream.llm.naming import free
 from quirestream.llm.staging import stage
 
 #: Ids of dropped documents that are sent to every task; more are joined by a shuffle.
@@ -19,9 +20,8 @@ SEND = 1_000_000
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the compressors tell; rejected ones go."""
-    model = langid.train(docs)
-    found = langid.identify(docs, model)
-    return found.where(~F.col("language.rejected")).select(*docs.columns)
+    found = langid.identify(docs, langid.train(docs))
+    return found.where(~F.col(found.columns[-1])["rejected"]).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +33,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked documents, that of the least id; of rows
-    that repeat one document, one."""
-    found = stage(jaccard.near_copies(docs.select("doc_id", "text")), "components")
-    twice = stage(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
-    if not twice.isEmpty():
-        docs = docs.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
-    dropped = stage(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "dropped")
+    """One document of each component of linked documents, that of the least id (no id comes
+    last); of rows that repeat one document, one. A row is told by its id and its text, so
+    rows without id, or of one id with several texts, are documents like others."""
+    own = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"))
+    (key,) = free(docs.columns, "key")
+    found = stage(jaccard.near_copies(docs.select(own.alias("doc_id"), "text")), "components")
+    twice = stage(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)), "twice")
+    dropped = stage(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(key)).distinct(), "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= SEND else dropped
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.withColumn(key, own).join(dropped, key, "left_anti")
+    if not twice.isEmpty():
+        sent = F.broadcast(twice) if twice.count() <= SEND else twice
+        kept = kept.join(sent, key, "left_anti").unionByName(kept.join(sent, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated."""
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    return found.where(~F.col(found.columns[-1])).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
