@@ -13,9 +13,11 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from quirestream import __version__
 from quirestream.config import DEFAULT, Config
+from quirestream.operators.guards import extension_of, format_of
 from quirestream.plans.convert import convert as convert_files
-from quirestream.sources.files import discover, exit_code, output_names, write_markdown
+from quirestream.sources.files import beside, discover, exit_code, output_names, write_markdown
 
 
 class ConversionError(Exception):
@@ -40,18 +42,39 @@ def convert(spark: SparkSession, source: bytes | str, config: Config = DEFAULT,
     return row.markdown
 
 
+#: Flags of the command line: names, and what they do.
+FLAGS = (
+    (("-r", "--recursive"), "look for documents in subfolders, too"),
+    (("--overwrite",), "replace files that are there"),
+    (("--stdout",), "print instead of writing files"),
+    (("-v", "--verbose"), "tell what is done"),
+    (("--no-tables",), "leave tables out"),
+    (("--no-headings",), "find no headings"),
+    (("--no-bold",), "mark nothing bold"),
+    (("--keep-repeated", "--no-remove-repeated"), "keep lines that repeat on pages"),
+    (("--no-join", "--no-join-lines"), "keep lines as they are"),
+    (("--single-column",), "read pages as one column"),
+    (("--no-polish",), "leave titles, key-value paragraphs, lists and links as they are"),
+    (("--page-markers",), "mark where pages begin"),
+    (("--page-break",), "a rule between pages"),
+    (("--ocr",), "recognise pages without text"),
+    (("--no-ocr-images",), "leave images alone"),
+)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quirestream")
     p.add_argument("input")
     p.add_argument("-o", "--output")
-    for flag in ("recursive", "overwrite", "stdout", "verbose", "page-markers", "page-break", "ocr", "single-column", "no-tables", "no-headings", "no-bold", "no-join-lines", "no-remove-repeated", "no-ocr-images", "no-polish"):
-        p.add_argument(f"--{flag}", action="store_true")
+    for names, told in FLAGS:
+        p.add_argument(*names, action="store_true", help=told)
     p.add_argument("--ocr-lang", default="spa")
+    p.add_argument("--version", action="version", version=f"quirestream {__version__}")
     return p
 
 
 def config_of(a: argparse.Namespace) -> Config:
-    c = Config(extract_tables=not a.no_tables, detect_headings=not a.no_headings, mark_bold=not a.no_bold, join_lines=not a.no_join_lines, remove_repeated=not a.no_remove_repeated, single_column=a.single_column, page_markers=a.page_markers, page_break=a.page_break, overwrite=a.overwrite, ocr=a.ocr, ocr_lang=a.ocr_lang, ocr_images=not a.no_ocr_images, verbose=a.verbose)
+    c = Config(extract_tables=not a.no_tables, detect_headings=not a.no_headings, mark_bold=not a.no_bold, join_lines=not a.no_join, remove_repeated=not a.keep_repeated, single_column=a.single_column, page_markers=a.page_markers, page_break=a.page_break, overwrite=a.overwrite, ocr=a.ocr, ocr_lang=a.ocr_lang, ocr_images=not a.no_ocr_images, verbose=a.verbose)
     return c.but(titlecase_headings=False, heading_strip_trailing_colon=False, heading_demote_title_block=False, merge_consecutive_headings=False, remove_furniture=False, kv_to_table=False, autolink_urls=False, temario_to_bullets=False) if a.no_polish else c
 
 
@@ -62,18 +85,32 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     spark = SparkSession.builder.appName("quirestream").getOrCreate()
     config = config_of(a)
-    files = discover(spark, a.input, recursive=a.recursive, config=config)
-    done = output_names(convert_files(files, config), F.col("path")).persist()
+    source = os.path.abspath(a.input)
+    files = discover(spark, source, recursive=a.recursive, config=config)
+    # only the readers that the listing needs get into the plan
+    kinds = tuple(r.k for r in files.select(format_of(extension_of(F.col("path"))).alias("k")).distinct().collect() if r.k)
+    whole = os.path.isdir(source)
+    folder, name = (a.output or source, None) if whole else os.path.split(source)
+    if a.output and not whole:
+        folder, name = (a.output, None) if os.path.isdir(a.output) else os.path.split(os.path.abspath(a.output))
+    done = convert_files(files, config, formats=kinds)
+    if whole and not a.output:
+        done = done.withColumn("output", beside(F.col("path"), source))
+    elif a.output and name:
+        done = done.withColumn("output", F.lit(name))
+    else:
+        done = output_names(done, F.col("path"))
+    done = done.persist()
     try:
-        good = done.where(F.col("error_code").isNull()).orderBy("path")
+        good = done.where(F.col("error_code").isNull())
         if a.stdout:
-            for r in good.select("markdown").toLocalIterator():
+            for r in good.orderBy("path").select("markdown").toLocalIterator():
                 sys.stdout.write(r.markdown)
         else:
-            out = a.output or (a.input if os.path.isdir(a.input) else os.path.dirname(os.path.abspath(a.input)))
-            for r in write_markdown(good, os.path.abspath(out), overwrite=config.overwrite).toLocalIterator():
+            far = "://" in folder
+            for r in write_markdown(good, folder if far else os.path.abspath(folder), overwrite=config.overwrite).orderBy("output").toLocalIterator():
                 print(f"{r.status}: {r.output}")
-        for r in done.where(F.col("error_code").isNotNull()).select("path", "error_code").toLocalIterator():
+        for r in done.where(F.col("error_code").isNotNull()).orderBy("path").select("path", "error_code").toLocalIterator():
             print(f"failed: {r.path}: {r.error_code}", file=sys.stderr)
         return exit_code(done)
     finally:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -45,35 +47,82 @@ def output_names(files: DataFrame, path: Column) -> DataFrame:
     return named.withColumn("collision", F.row_number().over(Window.partitionBy("output").orderBy(path)) > 1)
 
 
+def beside(path: Column, root: str) -> Column:
+    """The output of a file that stays in its folder: its path below ``root``, ending in .md."""
+    below = F.substring(path, F.locate(root.rstrip("/") + "/", path) + F.lit(len(root.rstrip("/")) + 1), F.length(path))
+    return F.concat(F.regexp_replace(below, r"(?<=[^/])\.[^./]*$", ""), F.lit(".md"))
+
+
 def write_markdown(done: DataFrame, folder: str, *, overwrite: bool = False) -> DataFrame:
-    """Write output and markdown as one UTF-8 file each through the file system that the
-    folder names; returns output and status (written or skipped). A task that runs again
-    finds its own files: they are written beside and renamed."""
+    """Write output (a path in ``folder``) and markdown as one UTF-8 file each; returns output
+    and status (written or skipped). Files that are there stay unless ``overwrite``. Of rows
+    with one output the first by path is written, the last with ``overwrite``; the others
+    are skipped. A task that runs again finds its own files: they are written beside and renamed."""
     spark = done.sparkSession
     fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
-    there = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("output"))
-    if overwrite:
-        fresh, skipped = done, done.limit(0)
+    if "path" in done.columns:
+        order = F.col("path").desc() if overwrite else F.col("path").asc()
+        named = done.withColumn("turn", F.row_number().over(Window.partitionBy("output").orderBy(order)))
     else:
-        fresh, skipped = done.join(there, "output", "left_anti"), done.join(there, "output", "left_semi")
-    local = folder.removeprefix("file://")
+        named = done.withColumn("turn", F.lit(1))
+    named = named.select("output", "markdown", "turn")
+    fresh, skipped = named.where("turn = 1"), named.where("turn > 1")
+    if not overwrite:
+        held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(beside_name(F.col("path"), folder).alias("output"))
+        skipped = skipped.unionByName(fresh.join(held, "output", "left_semi"))
+        fresh = fresh.join(held, "output", "left_anti")
+    fresh = fresh.select("output", "markdown")
+    written = _save_far(fresh, folder, fs) if "://" in folder.removeprefix("file://") else _save(fresh, folder.removeprefix("file://"))
+    return written.unionByName(skipped.select("output", F.lit("skipped").alias("status")))
 
-    def save(batches: Iterator) -> Iterator:
-        import os
 
+def beside_name(path: Column, root: str) -> Column:
+    """A path below ``root``, whatever scheme stands before it."""
+    name = root.removeprefix("file://").rstrip("/") + "/"
+    return F.substring(path, F.locate(name, path) + F.lit(len(name)), F.length(path))
+
+
+def _save(files: DataFrame, folder: str) -> DataFrame:
+    """Files in a folder that all executors mount."""
+
+    def save(batches: Iterator) -> Iterator:
         for b in batches:
             for name, text in zip(b["output"], b["markdown"], strict=True):
-                part = os.path.join(local, f".{name}.{os.getpid()}")
+                place, last = os.path.split(os.path.join(folder, name))
+                os.makedirs(place, exist_ok=True)
+                part = os.path.join(place, f".{last}.{os.getpid()}")
                 with open(part, "w", encoding="utf-8", newline="") as f:
                     f.write(text)
-                os.replace(part, os.path.join(local, name))
+                os.replace(part, os.path.join(place, last))
             yield b[["output"]].assign(status="written")
 
-    if "://" in local:
-        raise ValueError(f"write_markdown writes to folders that every executor mounts, not to {folder}")
-    written = fresh.select("output", "markdown").mapInPandas(save, "output string, status string")
-    return written.unionByName(skipped.select("output", F.lit("skipped").alias("status")))
+    return files.mapInPandas(save, "output string, status string")
+
+
+def _save_far(files: DataFrame, folder: str, fs) -> DataFrame:
+    """Files in a store that only Spark writes to: executors write a folder for each, whose
+    one part is then renamed. Markdown ends its last line, which the writer does, too."""
+    spark, jvm = files.sparkSession, files.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    root = path(folder.rstrip("/"))
+    work = path(root, f"_quirestream-{uuid.uuid4().hex}")
+    named = files.select("output", F.regexp_replace("markdown", r"\n\z", "").alias("value")).persist()
+    try:
+        named.repartition("output").write.option("lineSep", "\n").partitionBy("output").text(work.toString())
+        for status in fs.listStatus(work):
+            place = status.getPath()
+            if status.isDirectory() and place.getName().startswith("output="):
+                name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(place.getName()[7:])
+                target = path(root, name)
+                fs.mkdirs(target.getParent())
+                fs.delete(target, False)
+                for part in fs.listStatus(place):
+                    fs.rename(part.getPath(), target)
+        return spark.createDataFrame(named.select("output", F.lit("written").alias("status")).toPandas(), "output string, status string")  # one name a file
+    finally:
+        fs.delete(work, True)
+        named.unpersist()
 
 
 def zip_requests(done: DataFrame, request: str) -> DataFrame:

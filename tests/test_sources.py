@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quirestream.api import ConversionError, convert
+from quirestream.api import ConversionError, convert, main
 from quirestream.config import DEFAULT
 from quirestream.plans.convert import convert as convert_files
 from quirestream.plans.convert import convert_pages
@@ -161,6 +161,41 @@ def test_batch_isolated_and_written(spark, tmp_path):
     assert '"resultado":"error"' in line and "hola" not in line
 
 
+def test_one_output_for_several_inputs(spark, tmp_path):
+    """One stem twice: the first by path is written, the last with overwrite; far stores get the same files."""
+    rows = [("/x/a.txt", "a.md", "A\n"), ("/y/a.txt", "a.md", "B\n"), ("/y/c d.txt", "sub/c d.md", "C\n\nC\n")]
+    done = spark.createDataFrame(rows, "path string, output string, markdown string")
+    for folder in (tmp_path / "near", tmp_path / "far"):
+        if folder.name == "far":
+            import quirestream.sources.files as S
+
+            fs = spark._jvm.org.apache.hadoop.fs.Path(str(folder)).getFileSystem(spark._jsc.hadoopConfiguration())
+            assert {tuple(r) for r in S._save_far(done.where("path <> '/y/a.txt'").select("output", "markdown"), str(folder), fs).collect()} == {("a.md", "written"), ("sub/c d.md", "written")}
+        else:
+            got = write_markdown(done, str(folder)).collect()
+            assert sorted(r.status for r in got) == ["skipped", "written", "written"]
+        assert (folder / "a.md").read_text() == "A\n" and (folder / "sub" / "c d.md").read_text() == "C\n\nC\n"
+    got = write_markdown(done, str(tmp_path / "near"), overwrite=True).collect()
+    assert sorted(r.status for r in got) == ["skipped", "written", "written"] and (tmp_path / "near" / "a.md").read_text() == "B\n"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    src = tmp_path / "in"
+    (src / "b").mkdir(parents=True)
+    (src / "x.txt").write_text("uno")
+    (src / "b" / "x.txt").write_text("dos")
+    out = tmp_path / "out"
+    assert main([str(src), "-r", "-o", str(out)]) == 0
+    assert sorted(p.name for p in out.iterdir() if not p.name.startswith(".")) == ["x.md"] and (out / "x.md").read_text() == "dos\n"
+    assert main([str(src), "-r", "-v"]) == 0 and (src / "x.md").read_text() == "uno\n" and (src / "b" / "x.md").read_text() == "dos\n"
+    assert main([str(src / "x.txt"), "-o", str(tmp_path / "named.md"), "--keep-repeated", "--no-join"]) == 0 and (tmp_path / "named.md").read_text() == "uno\n"
+    capsys.readouterr()
+    assert main([str(src / "x.txt"), "--stdout"]) == 0 and capsys.readouterr().out == "uno\n"
+    assert main([str(tmp_path / "none")]) == 1
+    with pytest.raises(SystemExit):
+        main(["--version"])
+
+
 def test_pages(spark):
     words = [(1, 1, i, t, 10.0 + 50 * i, 50.0 + 50 * i, 10.0, 20.0, 18.0, "Arial") for i, t in enumerate("INFORME ANUAL".split())]
     words += [(1, 1, 10 + 5 * k + i, t, 10.0 + 50 * i, 50.0 + 50 * i, 40.0 + 14 * k, 50.0 + 14 * k, 10.0, "Arial") for k, line in enumerate(["una frase que se cor-", "ta aquí y sigue", "• viñeta uno", "• viñeta dos"]) for i, t in enumerate(line.split())]
