@@ -519,7 +519,7 @@ def q40_ocr_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {S_WORDS}, p AS (SELECT DISTINCT doc_id, page FROM words), i AS (SELECT doc_id, page, CAST(k AS INT) AS img_ord, x0::DOUBLE AS x0, top::DOUBLE AS top, x1::DOUBLE AS x1, bottom::DOUBLE AS bottom FROM p, (VALUES (0, 0, 0, 100, 100), (1, 0, 430, 600, 800), (2, 40, 0, 600, 400)) v(k, x0, top, x1, bottom)),
-    n AS (SELECT i.*, count(w.x0) AS n_words FROM i LEFT JOIN words w ON i.doc_id = w.doc_id AND i.page = w.page AND w.x0 < i.x1 AND w.x0 + 50 > i.x0 AND w.top < i.bottom AND w.top + 10 > i.top GROUP BY ALL)
+    n AS (SELECT i.*, count(w.x0) AS n_words FROM i LEFT JOIN words w ON i.doc_id = w.doc_id AND i.page = w.page AND w.x0 + 25 BETWEEN i.x0 AND i.x1 AND w.top + 5 BETWEEN i.top AND i.bottom GROUP BY ALL)
     SELECT doc_id, page, img_ord, (x1 - x0) * (bottom - top) / 480000.0::DOUBLE AS area_ratio, n_words, CASE WHEN (x1 - x0) * (bottom - top) / 480000 < 0.12 THEN 'small' WHEN n_words > 5 THEN 'text' WHEN (x1 - x0) * (bottom - top) / 480000 < 0.5 THEN 'skip' ELSE 'placeholder' END AS decision FROM n"""
 )
 def q40b_image_decisions(spark: SparkSession, d: str) -> DataFrame:

@@ -29,11 +29,11 @@ def words_to_lines(words: DataFrame, key: list[str], config: Config = DEFAULT) -
 
 
 def image_decisions(images: DataFrame, words: DataFrame, pages: DataFrame, *, recogniser: bool, config: Config = DEFAULT) -> DataFrame:
-    """``images`` with area ratio, overlapping words and ``decision``: small, text, ocr, skip,
+    """``images`` with area ratio, words whose middle lies on them and ``decision``: small, text, ocr, skip,
     placeholder or off; at most the configured number of a page is acted on."""
     key = ["doc_id", "page", "img_ord"]
     i, w = images.alias("i"), words.alias("w")
-    over = (F.col("i.doc_id") == F.col("w.doc_id")) & (F.col("i.page") == F.col("w.page")) & (F.col("w.x0") < F.col("i.x1")) & (F.col("w.x1") > F.col("i.x0")) & (F.col("w.top") < F.col("i.bottom")) & (F.col("w.bottom") > F.col("i.top"))
+    over = (F.col("i.doc_id") == F.col("w.doc_id")) & (F.col("i.page") == F.col("w.page")) & ((F.col("w.x0") + F.col("w.x1")) / 2).between(F.col("i.x0"), F.col("i.x1")) & ((F.col("w.top") + F.col("w.bottom")) / 2).between(F.col("i.top"), F.col("i.bottom"))
     counted = i.join(w, over, "left").groupBy(*[F.col(f"i.{c}") for c in images.columns]).agg(F.count("w.x0").alias("n_words"))
     area = F.greatest(F.col("x1") - F.col("x0"), F.lit(0)) * F.greatest(F.col("bottom") - F.col("top"), F.lit(0))
     sized = counted.join(pages.select("doc_id", "page", "width", "height"), ["doc_id", "page"]).withColumn("area_ratio", area / (F.col("width") * F.col("height")))

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from quirestream.config import DEFAULT, Config
 from quirestream.functions.markdown import join_parts, render_element, render_sections
-from quirestream.functions.text import decode_bytes, detect_language
-from quirestream.operators import assemble, layout, page_tables
+from quirestream.functions.text import decode_bytes, detect_language, normalize_unicode, strip, strip_private
+from quirestream.operators import assemble, layout, ocr, page_tables
 from quirestream.operators.guards import bad_signature, error_columns, too_large, zip_index, zip_verdict
 from quirestream.plans.staging import stage
 from quirestream.sources import office, plain
 from quirestream.sources.files import route
 from quirestream.sources.html import read_html
 
+#: Lines of images are numbered from here on, behind those of words.
+IMAGE_LINES = 1_000_000
 #: Own readers by format: a function from (files, config) to files with sections, language and read_error.
 READERS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {}
 
@@ -75,13 +77,54 @@ def convert(files: DataFrame, config: Config = DEFAULT, *, path: str = "path", c
     return out.select("path", "format", "length", "language", markdown.alias("markdown"), *error_columns(F.col("read_error")))
 
 
-def convert_pages(words: DataFrame, boxes: DataFrame, pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """doc_id and markdown from the words, table candidates and pages of laid-out documents:
-    tables are chosen and joined across pages, repeated lines go, headings are found by
-    size, blocks become elements, elements Markdown. Lines are used several times over, so each
-    of their states is written once."""
+def _recognised_lines(words: DataFrame, tables: DataFrame, lines: DataFrame, images: DataFrame, pages: DataFrame, recognised: DataFrame | None, config: Config) -> DataFrame:
+    """Lines that images give: what was recognised on large ones without words of their own,
+    or a notice where that could not be done; and of pages without words, if ``config.ocr``."""
+    page = ["doc_id", "page"]
+    blank = pages.select(*page).distinct().join(lines.select(*page).distinct(), page, "left_anti").join(tables.select(*page).distinct(), page, "left_anti")
+    whole = recognised is not None and config.ocr
+    shown = images.join(blank, page, "left_anti") if whole else images
+    first = ocr.image_decisions(shown.select(*page, "img_ord", "x0", "top", "x1", "bottom"), words, pages, recogniser=recognised is not None, config=config)
+    if "seconds" in images.columns:
+        first = first.join(images.select(*page, "img_ord", "seconds"), [*page, "img_ord"])
+        first = ocr.within_budget(first, F.coalesce("seconds", F.lit(0.0)), config)
+    decided = first.join(images.select(*page, "img_ord", "x0", "top"), [*page, "img_ord"])
+    reason = "instala Tesseract para activar el OCR" if recognised is None else "presupuesto de tiempo de OCR agotado"
+    notice = F.concat(F.lit("[Imagen en la página "), F.col("page"), F.lit(f": su contenido no se pudo extraer — {reason}]"))
+    own = F.lit(IMAGE_LINES).cast("long") + F.col("img_ord")
+    line = lambda text, order, top, x0: [*page, order.cast("long").alias("line_ord"), text.alias("text"), F.lit(0.0).alias("size"), F.lit(False).alias("bold"), top.alias("top"), x0.alias("x0")]
+    out = decided.where("decision = 'placeholder'").select(*line(notice, own * 1000, F.col("top"), F.col("x0")), own.cast("int").alias("block_ord"))
+    if recognised is not None:
+        read = ocr.words_to_lines(recognised.where("img_ord is not null"), [*page, "img_ord"], config).join(decided.where("decision = 'ocr'"), [*page, "img_ord"])
+        text = strip(normalize_unicode(strip_private(F.col("line"), config)))
+        out = out.unionByName(read.select(*line(text, own * 1000 + F.col("first_ord"), F.col("top"), F.col("x0")), own.cast("int").alias("block_ord")))
+    if whole:
+        read = ocr.words_to_lines(recognised.where("img_ord is null"), page, config).join(blank, page)
+        read = read.withColumn("k", F.row_number().over(layout.Window.partitionBy(*page).orderBy("first_ord")) - 1)
+        out = out.unionByName(layout.lines_to_paragraphs(read.select(*line(normalize_unicode(strip_private(F.col("line"), config)), F.col("k"), F.col("k").cast("double"), F.lit(0.0)))))
+    return out.where("text <> ''")
+
+
+def convert_pages(words: DataFrame, boxes: DataFrame, pages: DataFrame, config: Config = DEFAULT, *, images: DataFrame | None = None, recognised: DataFrame | None = None) -> DataFrame:
+    """doc_id, markdown and error_code from the words, table candidates and pages of laid-out
+    documents: tables are chosen and joined across pages, repeated lines go, headings are
+    found by size, blocks become elements, elements Markdown. Lines are used several times over,
+    so each of their states is written once. Documents of more than ``pdf_max_pages`` pages
+    are refused.
+
+    ``images`` (doc_id, page, img_ord, x0, top, x1, bottom; ``pages`` then has width and height):
+    large ones without words give the words of ``recognised`` (doc_id, page, img_ord, ord, text,
+    conf, block_num, par_num, line_num; img_ord null: the whole page) or a notice. What an image
+    takes, if it has ``seconds``, counts against the budget of its document."""
+    long = stage(pages.groupBy("doc_id").agg(F.countDistinct("page").alias("n")).where(F.col("n") > config.pdf_max_pages).select("doc_id"), "refused")
+    within = lambda df: df.join(long, "doc_id", "left_anti")
+    words, boxes, pages = within(words), within(boxes), within(pages)
     tables = stage(page_tables.select_tables(boxes, config).where("verdict = 'accepted'"), "tables")
-    lines = stage(layout.lines_to_paragraphs(layout.words_to_lines(layout.words_outside_tables(words, tables), config)), "lines")
+    outside = layout.words_outside_tables(words, tables)
+    lines = stage(layout.lines_to_paragraphs(layout.words_to_lines(outside, config)), "lines")
+    if images is not None:
+        more = _recognised_lines(outside, tables, lines, within(images), pages, None if recognised is None else within(recognised), config)
+        lines = stage(lines.select(*[F.col(c).cast(more.schema[c].dataType) for c in more.columns]).unionByName(more), "lines")
     # blocks in order of height, text before tables at one height
     text = lines.groupBy("doc_id", "page", "block_ord").agg(F.min("top").alias("top")).select("doc_id", "page", F.lit("text").alias("kind"), "block_ord", "top", F.lit(None).cast("array<array<string>>").alias("rows"))
     found = tables.select("doc_id", "page", F.lit("table").alias("kind"), F.col("tbl_ord").alias("block_ord"), "top", "rows")
@@ -99,4 +142,5 @@ def convert_pages(words: DataFrame, boxes: DataFrame, pages: DataFrame, config:
     elements = assemble.pieces_to_elements(made, F.coalesce("language", F.lit("es")), config)
     part = render_element(F.col("element"), F.coalesce(F.col("language"), F.lit("es")), config)
     parts = elements.withColumn("part", part).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "elem_ord", "part"))), lambda x: x["part"]).alias("parts"))
-    return parts.select("doc_id", join_parts(F.col("parts")).alias("markdown"))
+    done = parts.select("doc_id", join_parts(F.col("parts")).alias("markdown"), F.lit(None).cast("string").alias("error_code"))
+    return done.unionByName(long.select("doc_id", F.lit(None).cast("string").alias("markdown"), F.lit("INFRA_FILE_TOO_LARGE").alias("error_code")))

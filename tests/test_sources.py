@@ -205,6 +205,25 @@ def test_pages(spark):
     assert convert_pages(w, b, w.select("doc_id", "page").distinct()).first()["markdown"] == "# INFORME ANUAL\n\nuna frase que se corta aquí y sigue\n\n- viñeta uno\n- viñeta dos\n\n| a | b | c | d |\n| --- | --- | --- | --- |\n| 1 | 2 | 3 | 4 |\n"
 
 
+def test_pages_with_images(spark):
+    """Notices, recognised images and pages, the budget, and documents of too many pages."""
+    words = spark.createDataFrame([*((1, 1, k, "hola", 10.0, 60.0, 2.0 + 6 * k, 7.0 + 6 * k, 10.0, "Arial") for k in range(4)), (9, 1, 0, "no", 10.0, 60.0, 10.0, 20.0, 10.0, "Arial")], "doc_id long, page int, word_ord int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string")
+    boxes = spark.createDataFrame([], "doc_id long, page int, tbl_ord int, x0 double, top double, x1 double, bottom double, rows array<array<string>>")
+    pages = spark.createDataFrame([(1, 1), (2, 1), *((9, p) for p in range(1, 5))], "doc_id long, page int").withColumn("width", F.lit(100.0)).withColumn("height", F.lit(100.0))
+    images = spark.createDataFrame([(1, 1, 0, 0.0, 30.0, 100.0, 95.0, 5.0), (1, 1, 1, 0.0, 31.0, 100.0, 96.0, 1.0), (1, 1, 2, 0.0, 40.0, 40.0, 80.0, 1.0), (2, 1, 0, 0.0, 0.0, 100.0, 100.0, 1.0)], "doc_id long, page int, img_ord int, x0 double, top double, x1 double, bottom double, seconds double")
+    config = DEFAULT.but(pdf_max_pages=3)
+    notice = "[Imagen en la página 1: su contenido no se pudo extraer — {}]"
+    got = {r.doc_id: r for r in convert_pages(words, boxes, pages, config, images=images.drop("seconds")).collect()}
+    missing = notice.format("instala Tesseract para activar el OCR")
+    assert got[1].markdown == f"hola hola hola hola\n\n{missing}\n\n{missing}\n" and got[2].markdown == f"# {missing}\n"  # without other text, its size is the body's
+    assert got[9].markdown is None and got[9].error_code == "INFRA_FILE_TOO_LARGE" and got[1].error_code is None
+    seen = spark.createDataFrame([(1, 1, 0, 0, "leído", 90.0, 1, 1, 1), (1, 1, 0, 1, "bien", 90.0, 1, 1, 1), (1, 1, 1, 0, "tarde", 90.0, 1, 1, 1), (2, 1, None, 0, "toda", 90.0, 1, 1, 1), (2, 1, 0, 0, "imagen", 90.0, 1, 1, 1)], "doc_id long, page int, img_ord int, ord int, text string, conf double, block_num int, par_num int, line_num int")
+    got = {r.doc_id: r.markdown for r in convert_pages(words, boxes, pages, config, images=images, recognised=seen).collect()}
+    assert got[1] == f"hola hola hola hola\n\nleído bien\n\n{notice.format('presupuesto de tiempo de OCR agotado')}\n" and got[2] == "# imagen\n"
+    got = {r.doc_id: r.markdown for r in convert_pages(words, boxes, pages, config.but(ocr=True), images=images, recognised=seen).collect()}
+    assert got[2] == "# toda\n"
+
+
 def test_zip_requests(spark):
     rows = [(1, "b.md", "B\n", None), (1, "a.md", "A\n", None), (1, "a.md", "A2\n", None), (2, "c.md", None, "INFRA_CORRUPT_FILE"), (2, "d.md", "D\n", None)]
     got = {r.req: r for r in zip_requests(spark.createDataFrame(rows, "req long, output string, markdown string, error_code string"), "req").collect()}
