@@ -1,4 +1,6 @@
-"""Text cleaning as native column expressions: they fuse into one code-generated stage."""
+"""Text cleaning as native column expressions. Plain functions of strings fuse into one
+code-generated stage; ``transform``, ``filter`` and ``aggregate`` over arrays are interpreted
+by Spark, still without Python."""
 
 from __future__ import annotations
 

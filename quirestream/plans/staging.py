@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests,
-    one machine) a temporary folder that this session then keeps."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset on one machine
+    (tests) a temporary folder that this session then keeps. A cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quirestream-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

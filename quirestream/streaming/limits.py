@@ -63,7 +63,7 @@ def limit_all(requests: DataFrame, key: str, time: Column, order: str, *, per_ke
             yield pd.DataFrame(out, columns=[key, order, "retry_after"])
 
     types = dict(requests.dtypes)
-    return rows.coalesce(1).sortWithinPartitions("t", "o").mapInPandas(run, f"{key} {types[key]}, {order} {types[order]}, retry_after double")
+    return rows.repartition(1).sortWithinPartitions("t", "o").mapInPandas(run, f"{key} {types[key]}, {order} {types[order]}, retry_after double")
 
 
 class Limiter(StatefulProcessor):
