@@ -7,10 +7,12 @@ hash, and one position in some 85 is a suffix.
 
 Per anchor hash the suffixes are sorted. A scan of neighbours' common prefixes with a
 stack yields the tree of intervals: all suffixes that share a prefix of some length. In
-each interval the texts to the left are compared, too: where they differ (else a longer
-repeat, found at its own interval, says the same) members whose common left and right
-parts make up ``SPAN`` bytes form a maximal repeat group, with every occurrence in it.
-The bytes of all groups are removed.
+each interval the texts to the left are compared, too, and each member is taken as far to
+the left as it agrees with another; members whose common left and right parts make up
+``SPAN`` bytes form a group. A member is told again only where it reaches further than at
+an interval inside, so what comes out covers every occurrence of every repeat, but smaller
+groups inside larger ones are not told one by one. Where the left texts agree as far as
+they are held, the repeat goes on at the anchor before. The bytes of all groups are removed.
 
 What keeps this small: equal texts are one class, and all their bytes repeat. Suffixes
 whose surroundings (``SPAN`` bytes to both sides) are equal need no comparison, one of
@@ -234,8 +236,6 @@ def repeat_groups(right: list[bytes], left: list[bytes], span: int = SPAN) -> It
                 continue
             members = sorted((order[x] for x in range(begin, i + 1)), key=rank.__getitem__)
             part = [_common(left[x], left[y]) for x, y in zip(members[:-1], members[1:], strict=True)]
-            if min(part) == len(left[members[0]]) == len(left[members[-1]]) == LEFT:
-                pass  # one left context: nothing differs within reach, the interval is whole as it is
             open_ = False
             for x, who in enumerate(members):
                 best = max(part[x - 1] if x else 0, part[x] if x < len(part) else 0)
