@@ -7,12 +7,14 @@ hash, and one position in some 85 is a suffix.
 
 Per anchor hash the suffixes are sorted. A scan of neighbours' common prefixes with a
 stack yields the tree of intervals: all suffixes that share a prefix of some length. In
-each interval the texts to the left are compared, too, and each member is taken as far to
-the left as it agrees with another; members whose common left and right parts make up
-``SPAN`` bytes form a group. A member is told again only where it reaches further than at
-an interval inside, so what comes out covers every occurrence of every repeat, but smaller
-groups inside larger ones are not told one by one. Where the left texts agree as far as
-they are held, the repeat goes on at the anchor before. The bytes of all groups are removed.
+each interval the texts to the left are sorted, and a scan of these yields the sets of
+members that agree to the left and differ one byte further. Such a left-diverse set whose
+common left and right parts make up ``SPAN`` bytes is a maximal repeat, unless all of it
+agrees further to the right, too. ``repeat_groups`` tells them with all occurrences.
+
+``repeated_spans`` removes the bytes of all groups. For that it is enough how far each member
+reaches in the innermost of its sets, so the sets around these are not listed. Where the left
+texts agree as far as they are held, the repeat goes on at the anchor before.
 
 What keeps this small: equal texts are one class, and all their bytes repeat. Suffixes
 whose surroundings (``SPAN`` bytes to both sides) are equal need no comparison, one of
@@ -30,7 +32,8 @@ empty result; other columns are left alone.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,9 +78,8 @@ class Rolling:
         return mix64((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U))
 
 
-def anchors(buf: np.ndarray, cut: np.ndarray, rolling: Rolling) -> np.ndarray:
-    """Positions of the anchors of all documents (``cut``: their offsets, one more)."""
-    n = len(buf)
+def _lowest(n: int, rolling: Rolling) -> np.ndarray:
+    """For each window of ``SPAN`` bytes in a buffer of ``n``, the position of its anchor."""
     if n < SPAN:
         return np.zeros(0, np.int64)
     at = np.arange(n - GRAM + 1)
@@ -91,10 +93,15 @@ def anchors(buf: np.ndarray, cut: np.ndarray, rolling: Rolling) -> np.ndarray:
         width *= 2
     if width < reach:
         best = np.minimum(best[: len(low) - reach + 1], best[reach - width : reach - width + len(low) - reach + 1])
+    return (best & mask).astype(np.int64)
+
+
+def anchors(buf: np.ndarray, cut: np.ndarray, rolling: Rolling) -> np.ndarray:
+    """Positions of the anchors of all documents (``cut``: their offsets, one more)."""
+    best = _lowest(len(buf), rolling)
     start = np.arange(len(best))
     doc = np.searchsorted(cut, start, "right") - 1
-    inside = start + SPAN <= cut[doc + 1]
-    return np.unique((best[inside] & mask).astype(np.int64))
+    return np.unique(best[start + SPAN <= cut[doc + 1]])
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -215,45 +222,92 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def repeat_groups(right: list[bytes], left: list[bytes], span: int = SPAN) -> Iterator[tuple[int, int, int, int]]:
-    """Maximal repeats among suffixes: (group, member, bytes to the left, bytes to the right).
-    ``right``: what follows each anchor; ``left``: what stands before it, reversed."""
-    m = len(right)
-    order = sorted(range(m), key=lambda i: right[i])
-    lcp = [_common(right[x], right[y]) for x, y in zip(order[:-1], order[1:], strict=True)]
-    by_left = sorted(range(m), key=lambda i: left[i])
-    rank = {i: k for k, i in enumerate(by_left)}
-    most = max((_common(left[x], left[y]) for x, y in zip(by_left[:-1], by_left[1:], strict=True)), default=0)
-    done_l, done_r = [-1] * m, [-1] * m
-    group = 0
-    stack: list[tuple[int, int]] = []  # depth and left end of the intervals that are open
-    for i in range(m):
-        depth = lcp[i] if i < m - 1 else 0
+def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Depth, first and last of the intervals of a sorted list, inner ones first, by a scan with
+    a stack. ``common``: how far neighbours agree."""
+    stack: list[tuple[int, int]] = []
+    for i, depth in enumerate([*common, -1]):
         begin = i
         while stack and stack[-1][0] > depth:
             d, begin = stack.pop()
-            if d + most < span:
-                continue
-            members = sorted((order[x] for x in range(begin, i + 1)), key=rank.__getitem__)
-            part = [_common(left[x], left[y]) for x, y in zip(members[:-1], members[1:], strict=True)]
-            open_ = False
-            for x, who in enumerate(members):
-                best = max(part[x - 1] if x else 0, part[x] if x < len(part) else 0)
-                if best + d < span:
-                    open_ = False
-                    continue
-                if not open_ or (x and part[x - 1] + d < span):
-                    group += 1
-                    open_ = True
-                if best > done_l[who] or d > done_r[who]:
-                    done_l[who], done_r[who] = max(best, done_l[who]), max(d, done_r[who])
-                    yield group, who, best, d
-        if i < m - 1 and depth > 0 and (not stack or stack[-1][0] < depth):
+            yield d, begin, i
+        if not stack or stack[-1][0] < depth:
             stack.append((depth, begin))
 
 
+class Least:
+    """The least of any range of an array, in constant time."""
+
+    def __init__(self, values: list[int]) -> None:
+        self.levels = [np.asarray(values, np.int64)]
+        while len(self.levels[-1]) > 1 << (len(self.levels) - 1):
+            x, w = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(x[:-w], x[w:]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least of [lo, hi) for each pair; no range is empty."""
+        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+        out = np.empty(len(lo), np.int64)
+        for k in np.unique(level).tolist():
+            at = level == k
+            out[at] = np.minimum(self.levels[k][lo[at]], self.levels[k][hi[at] - (1 << k)])
+        return out
+
+
+class Suffixes:
+    """Suffixes of one anchor hash: the interval tree of what follows it, and in each interval
+    how far the members agree to the left. ``right``: what follows each anchor; ``left``: what
+    stands before it, reversed."""
+
+    def __init__(self, right: list[bytes], left: list[bytes], span: int = SPAN) -> None:
+        self.span, m = span, len(right)
+        order = sorted(range(m), key=right.__getitem__)
+        by_left = sorted(range(m), key=left.__getitem__)
+        self.lcp = [_common(right[x], right[y]) for x, y in zip(order[:-1], order[1:], strict=True)]
+        before = [_common(left[x], left[y]) for x, y in zip(by_left[:-1], by_left[1:], strict=True)]
+        self.order, self.by_left = np.array(order, np.int64), np.array(by_left, np.int64)
+        self.place, self.rank = np.empty(m, np.int64), np.empty(m, np.int64)
+        self.place[self.order] = self.rank[self.by_left] = np.arange(m)
+        self.before, self.most = Least(before), max(before, default=0)
+
+    def _nodes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Depth of each interval in which members agree for ``span`` bytes, its members in
+        order of their left texts, and how far neighbours in this order agree to the left."""
+        for d, x, y in intervals(self.lcp):
+            if d + self.most < self.span:
+                continue
+            rank = np.sort(self.rank[self.order[x : y + 1]])
+            part = self.before.of(rank[:-1], rank[1:])
+            if part.max() + d >= self.span:
+                yield d, self.by_left[rank], part
+
+    def reaches(self) -> Iterator[tuple[int, int, int]]:
+        """Member, bytes to the left and to the right that its smallest groups cover: in each
+        interval the innermost left extension of a member, where it reaches further than inside."""
+        m = len(self.order)
+        done_l, done_r = np.full(m, -1), np.full(m, -1)
+        for d, who, part in self._nodes():
+            best = np.maximum(np.append(part, 0), np.append(0, part))
+            new = (best + d >= self.span) & ((best > done_l[who]) | (d > done_r[who]))
+            who, best = who[new], best[new]
+            done_l[who], done_r[who] = np.maximum(done_l[who], best), np.maximum(done_r[who], d)
+            yield from ((int(i), int(a), d) for i, a in zip(who, best, strict=True))
+
+    def groups(self) -> Iterator[tuple[list[int], int, int]]:
+        """All maximal repeats: members, bytes to the left and to the right. In an interval, each
+        set of members that agree to the left and differ one byte further (left-diverse) is one,
+        unless all of them agree further to the right, too: then a deeper interval tells it."""
+        ahead = Least(self.lcp)
+        for d, who, part in self._nodes():
+            for left, x, y in intervals(part.tolist()):
+                if left + d >= self.span:
+                    at = self.place[who[x : y + 1]]
+                    if ahead.of(at.min(keepdims=True), at.max(keepdims=True))[0] == d:
+                        yield who[x : y + 1].tolist(), left, d
+
+
 def _settled(contexts: DataFrame) -> DataFrame:
-    """name, group, row, start, end of the repeats among distinct surroundings."""
+    """row, start, end of the repeats among distinct surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
@@ -261,8 +315,8 @@ def _settled(contexts: DataFrame) -> DataFrame:
 
         def solve() -> None:
             if len(held) > 1:
-                for g, i, a, z in repeat_groups([c[l:] for _, _, l, c in held], [c[:l][::-1] for _, _, l, c in held]):
-                    out.append((name, g, held[i][0], held[i][1] - a, held[i][1] + z))
+                for i, a, z in Suffixes([c[l:] for _, _, l, c in held], [c[:l][::-1] for _, _, l, c in held]).reaches():
+                    out.append((held[i][0], held[i][1] - a, held[i][1] + z))
 
         for b in batches:
             for n, r, p, l, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
@@ -272,14 +326,14 @@ def _settled(contexts: DataFrame) -> DataFrame:
                 if not held or held[-1][:2] != (r, p):
                     held.append((r, p, l, c))
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["name", "grp", "row", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["row", "start", "end"])
                 out.clear()
         solve()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["name", "grp", "row", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["row", "start", "end"])
 
     spread = contexts.repartition(parts(contexts.sparkSession), "name").sortWithinPartitions("name", "row", "pos")
-    return spread.select("name", "row", "pos", "l", "ctx").mapInArrow(run, "name long, grp long, row long, start long, end long")
+    return spread.select("name", "row", "pos", "l", "ctx").mapInArrow(run, "row long, start long, end long")
 
 
 def _windows(contexts: DataFrame) -> DataFrame:
@@ -312,6 +366,32 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Da
     return wanted.join(texts, texts["id"].eqNullSafe(wanted["id"]) & (texts["sha"] == wanted["sha"])).select(wanted["*"], "t")
 
 
+CONTEXT = "name long, row long, pos long, l long, ctx binary"
+
+
+def _cut(before: int, after: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Surroundings of anchors (row, list of pos and name, text) as bytes; l: bytes before the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], ["name", "row", "pos", "l", "ctx"])
+
+        for b in batches:
+            out: list[tuple] = []
+            for r, at, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for x in at:
+                    p = x["pos"]
+                    a = max(0, p - before)
+                    out.append((x["name"], r, p, p - a, t[a : p + after]))
+                    if len(out) > 5000:
+                        yield batch(out)
+                        out = []
+            if out:
+                yield batch(out)
+
+    return run
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, z in sorted(spans):
@@ -335,29 +415,15 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     need = meet.where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("pos", "name")).alias("at"))
     need = stage(need.join(single, "row").select("row", "id", "sha", "at"), "need")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r, at, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for x in at:
-                    p = x["pos"]
-                    a = max(0, p - LEFT)
-                    out.append((x["name"], r, p, p - a, t[a : p + SPAN]))
-                if len(out) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["name", "row", "pos", "l", "ctx"])
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["name", "row", "pos", "l", "ctx"])
-
-    contexts = _texts(docs, id_col, text_col, need).select("row", "at", "t").mapInArrow(cut, "name long, row long, pos long, l long, ctx binary").where(F.length("ctx") >= SPAN)
+    contexts = _texts(docs, id_col, text_col, need).select("row", "at", "t").mapInArrow(_cut(LEFT, SPAN), CONTEXT).where(F.length("ctx") >= SPAN)
     large = stage(meet.where("kind = 1").groupBy("name").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP).select("name"), "large")
     found = None
     if not large.isEmpty():  # each name stands for more than GROUP rows, so these are few
         contexts = stage(contexts, "contexts")
         found = _windows(contexts.join(large, "name", "left_semi"))
         contexts = contexts.join(large, "name", "left_anti")
-    groups = _settled(contexts).select("row", "start", "end")
-    found = groups if found is None else found.unionByName(groups)
+    settled = _settled(contexts)
+    found = settled if found is None else found.unionByName(settled)
     sizes = single.select("row", "n")
     # by row from here on: lists of positions, so that each joins where it is
     whole = meet.where("kind = 0").groupBy("row").agg(F.collect_list(F.col("pos").cast("long")).alias("at")).join(sizes, "row")
@@ -399,3 +465,104 @@ def without_repeats(text: bytes, spans: list[tuple[int, int]]) -> bytes:
         out.append(text[at:a])
         at = z
     return b"".join([*out, text[at:]])
+
+
+GROUPS = "grp string, row long, pos long, a long, z long, goes_on boolean"
+
+
+def _told(contexts: DataFrame, reach: int) -> DataFrame:
+    """Maximal repeats among the distinct surroundings of each anchor hash: grp, row and pos of
+    the member, bytes before and after the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+        out: list[tuple] = []
+
+        def tell(members: list[int], a: int, z: int) -> None:
+            _, _, l, c, _ = held[members[0]]
+            text = c[l - a : l + z]
+            buf = np.frombuffer(text, np.uint8)
+            if a <= LEFT and _lowest(SPAN, Rolling(buf[:SPAN]))[0] == a:  # else an anchor before tells it
+                out.extend((hashlib.sha256(text).hexdigest(), held[i][0], held[i][1], a, z, z == reach) for i in members)
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            suffixes = Suffixes([c[l:] for _, _, l, c, _ in held], [c[:l][::-1] for _, _, l, c, _ in held])
+            same = (([i], l, len(c) - l) for i, (_, _, l, c, n) in enumerate(held) if n > 1 and len(c) >= SPAN)
+            for members, a, z in itertools.chain(same, suffixes.groups()):
+                tell(members, a, z)
+                if len(out) > 10_000:
+                    yield batch()
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["grp", "row", "pos", "a", "z", "goes_on"])
+            out.clear()
+            return made
+
+        for b in batches:
+            for n, *one in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if n != name:
+                    if held:
+                        yield from solve()
+                    name, held = n, []
+                if not held or held[-1][:2] != one[:2]:
+                    held.append(one)
+        if held:
+            yield from solve()
+        if out:
+            yield batch()
+
+    spread = contexts.repartition(parts(contexts.sparkSession), "name").sortWithinPartitions("name", "row", "pos")
+    return spread.select("name", "row", "pos", "l", "ctx", "n").mapInArrow(run, GROUPS)
+
+
+def _told_windows(contexts: DataFrame) -> DataFrame:
+    """The same for hashes with very many surroundings: each window whose anchor this is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r, p, l, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                at = np.flatnonzero(_lowest(len(c), Rolling(np.frombuffer(c, np.uint8))) == l).tolist()
+                if at:
+                    yield pa.RecordBatch.from_pylist([{"grp": hashlib.sha256(c[x : x + SPAN]).hexdigest(), "row": r, "pos": p, "a": l - x, "z": x + SPAN - l, "goes_on": True} for x in at])
+
+    return contexts.select("row", "pos", "l", "ctx").mapInArrow(run, GROUPS)
+
+
+def repeat_groups(docs: DataFrame, *, reach: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The maximal repeats of ``SPAN`` bytes or more with all their occurrences: ``grp`` (the
+    string's SHA-256), id, ``start``, ``end``, ``goes_on``. A repeat is maximal where two of its
+    occurrences differ one byte before it, and two one byte behind it; a text's ends differ from
+    all. It is told at the first anchor of its own, which all its occurrences have.
+
+    What follows an anchor is held for ``reach`` bytes. A repeat that is longer is told up to
+    there, as one that ``goes_on``. For an anchor hash with more than ``GROUP`` distinct surroundings the groups are windows of ``SPAN``
+    bytes that go on. A row of ``docs`` gives as many rows as it has occurrences; null ids stay
+    null; an empty table gives none.
+    """
+    reach = max(reach, SPAN)
+    scan = stage(_scan(docs, id_col, text_col), "anchors")
+    classes = scan.groupBy("sha").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
+    single = stage(classes.join(scan.select("row", "id", "n"), "row").where(f"n >= {SPAN}"), "classes")
+    marks = scan.join(single.select("row", "copies"), "row").select("row", "copies", F.explode(F.arrays_zip("name", "pos")).alias("x")).select("row", "copies", F.col("x.name").alias("name"), F.col("x.pos").cast("long").alias("pos"))
+    often = marks.groupBy("name").agg(F.sum("copies").alias("k")).where("k > 1").select("name")
+
+    def surroundings(at: DataFrame) -> DataFrame:
+        need = at.groupBy("row").agg(F.collect_set(F.struct("pos", "name")).alias("at")).join(single.select("row", "id", "sha"), "row")
+        return _texts(docs, id_col, text_col, need).select("row", "at", "t").mapInArrow(_cut(LEFT + 1, reach), CONTEXT)
+
+    # equal surroundings are compared once; the first of them stands for all
+    alike = ["name", "l", "h"]
+    places = stage(surroundings(marks.join(often, "name", "left_semi")).select("name", "l", F.sha2("ctx", 256).alias("h"), "row", "pos").distinct(), "places")
+    leads = places.join(single.select("row", "copies"), "row").groupBy(*alike).agg(F.min(F.struct("row", "pos")).alias("lead"), F.sum("copies").alias("n"))
+    leads = stage(leads.select(*alike, F.col("lead.row").alias("lead"), F.col("lead.pos").alias("lead_pos"), "n"), "leads")
+    names = leads.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("most")).where("k > 1 or most > 1")
+    first = leads.join(names.withColumn("large", F.col("k") > GROUP), "name").select(F.col("lead").alias("row"), F.col("lead_pos").alias("pos"), "name", "n", "large")
+    contexts = stage(surroundings(first).join(first, ["row", "pos", "name"]), "surroundings")
+    told = _told(contexts.where("not large"), reach).unionByName(_told_windows(contexts.where("large")))
+    told = told.select("grp", F.col("row").alias("lead"), F.col("pos").alias("lead_pos"), "a", "z", "goes_on")
+    found = places.join(leads.drop("n"), alike).join(told, ["lead", "lead_pos"])
+    found = found.select("grp", "row", (F.col("pos") - F.col("a")).alias("start"), (F.col("pos") + F.col("z")).alias("end"), "goes_on")
+    spans = found.groupBy("grp", "row", "start", "end").agg(F.min("goes_on").alias("goes_on"))
+    spans = stage(spans.join(single.select("row", "sha"), "row").join(scan.select("sha", "id"), "sha").select("grp", "id", "start", "end", "goes_on"), "groups")
+    several = spans.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
+    return spans.join(several, "grp", "left_semi").select("grp", F.col("id").alias(id_col), "start", "end", "goes_on")

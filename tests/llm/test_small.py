@@ -356,7 +356,48 @@ def test_repeats(spark, monkeypatch, group):
             assert hashlib.sha256(repeats.without_repeats(b, [(s["start"], s["end"]) for s in r.spans])).hexdigest() == r.kept_sha256
 
 
+def brute_groups(texts):
+    """Strings of all pairs of places that agree for 200 bytes and neither way further, with their places."""
+    at = {}
+    for d, b in enumerate(texts):
+        for i in range(len(b) - 199):
+            at.setdefault(b[i : i + 200], []).append((d, i))
+    strings = set()
+    for places in at.values():
+        for x, (d, i) in enumerate(places):
+            for e, j in places[:x]:
+                if i and j and texts[d][i - 1] == texts[e][j - 1]:
+                    continue  # found from further left
+                n = len(os.path.commonprefix([texts[d][i:], texts[e][j:]]))
+                strings.add(texts[d][i : i + n])
+    return {(hashlib.sha256(s).hexdigest(), d, i, i + len(s)) for s in strings for d, i in at[s[:200]] if texts[d][i : i + len(s)] == s}
+
+
+def test_repeat_groups(spark, monkeypatch):
+    rng = random.Random(16)
+    unique = lambda n: "".join(rng.choice("abcdefgh ñ") for _ in range(n))
+    p = unique(460)
+    docs = [unique(300), unique(100) + p + unique(50), unique(30) + p[20:400] + unique(9), unique(9) + p[60:300] + unique(70) + p[:250], p, p, "x" + p[100:] + "y", "z" + p[100:] + "w", "u" * 500, "", None, p[:199], unique(5) + p[100:300] + unique(5)]
+    docs += [docs[1], "q" + p[100:] + "y"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    texts = [(t or "").encode() for t in docs]
+    got = repeats.repeat_groups(df, reach=700).collect()
+    assert len(got) == len(set(got)) and {(r.grp, r.doc_id, r.start, r.end) for r in got} == brute_groups(texts)
+    assert not any(r.goes_on for r in got)
+    # what is longer than it is held goes on, windows of very frequent anchors do, too
+    for many in (4096, 2):
+        monkeypatch.setattr(repeats, "GROUP", many)
+        short = repeats.repeat_groups(df, reach=200).collect()
+        assert len(short) == len(set(short)) and any(r.goes_on for r in short)
+        for grp in {r.grp for r in short}:
+            told = {(r.doc_id, r.start, r.end) for r in short if r.grp == grp}
+            d, i, j = min(told)
+            s = texts[d][i:j]
+            assert told == {(e, x, x + len(s)) for e, t in enumerate(texts) for x in range(len(t)) if t.startswith(s, x)} and len(told) > 1
+
+
 def test_repeats_empty(spark):
+    assert repeats.repeat_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert repeats.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
