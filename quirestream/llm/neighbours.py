@@ -6,13 +6,14 @@ array. Virtual rehashing widens all windows step by step (the same arrays serve
 radius); a vector that lies inside the window of ``THRESHOLD`` of the projections or
 more has collided often enough and is verified by its exact distance. A query ends when
 ``k`` verified vectors lie within the radius that the windows stand for, or all vectors
-have been verified. A window reaches ``WIDTH`` radii to both sides: a vector at the radius
-falls into each with probability 0.866, so 24 of 32 collide with probability above 0.97.
+have been verified; a radius never grows past the distance of the ``k``-th so far. A window
+reaches ``WIDTH`` radii to both sides: a vector at the radius falls into each with probability
+0.866, so 106 of 128 collide with probability 0.92, and nearer ones more often.
 
-The vectors are dealt into blocks; each block is indexed on its own and answers every
-query with its ``k`` nearest, and these are merged by query. Queries are dealt into
-blocks too and meet the blocks of vectors through a shuffle, so neither side is ever
-held whole. Every row is indexed; there is no sample.
+The vectors are dealt into blocks, each indexed on its own. A query searches its own block
+first; the ``k``-th distance found there is a bound, and in the other blocks its windows grow
+no further than that. Queries are dealt into blocks too and meet the blocks of vectors through
+a shuffle, so neither side is ever held whole. Every row is indexed; there is no sample.
 
 Defined results: vectors that are null, empty, all zero, or hold a null or non-finite
 component take no part, nor do rows without id; vectors of other dimensions than the
@@ -23,6 +24,7 @@ the smaller id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql.window import Window
 
 from quirestream.llm.staging import parts, stage
 
-PROJECTIONS, THRESHOLD, STEP, WIDTH = 32, 24, 1.12, 1.5
+PROJECTIONS, THRESHOLD, STEP, WIDTH = 128, 106, 1.08, 1.5
 #: Rows of a block of vectors, and of a block of queries.
 VECTORS, QUERIES = 8192, 2048
 
@@ -54,8 +56,9 @@ class Block:
         # a first radius: small against the spread of the block
         self.start = max(float(np.sqrt(vectors.var(axis=0).sum())) * 0.5, 1e-12)
 
-    def nearest(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and squared distances of the block's nearest, by collision counting."""
+    def nearest(self, query: np.ndarray, own: int, k: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """ids and squared distances of the block's nearest, by collision counting; windows stand
+        for ``bound`` at most. With it, how many vectors were verified."""
         n = len(self.ids)
         at = query @ self.a
         lo = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(PROJECTIONS)])
@@ -85,15 +88,16 @@ class Block:
                 dist.append(d)
                 got += len(new)
                 if got >= k:
-                    best = float(np.partition(np.concatenate(dist), k - 1)[k - 1])
-            if got >= k and best <= radius**2:
+                    best = float(np.sqrt(np.partition(np.concatenate(dist), k - 1)[k - 1]))
+            if min(best, bound) <= radius:
                 break
-            radius *= STEP
+            # where hardly anything collides yet, larger steps lose nothing
+            radius = min(radius * (STEP if 2 * count.max() >= THRESHOLD else 2.0), best, bound)
         if not rows:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0), 0
         r, d = np.concatenate(rows), np.concatenate(dist)
         pick = np.lexsort((self.ids[r], d))[:k]
-        return self.ids[r[pick]], d[pick]
+        return self.ids[r[pick]], d[pick], got
 
 
 def usable(vector: Column) -> Column:
@@ -115,13 +119,12 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     rows = rows.withColumn("dim", F.size("v"))
     count = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / VECTORS).alias("nv"), F.ceil(F.count_if("q") / QUERIES).alias("nq"))
     sides = rows.join(F.broadcast(count), "dim")  # a row for each dimension that occurs
-    data = sides.withColumn("vb", F.pmod(F.xxhash64("id"), F.col("nv"))).withColumn("qb", F.lit(-1).cast("long"))
-    # each block of queries goes to each block of vectors: rows grow with blocks, not with pairs
-    asks = sides.where("q").dropDuplicates(["id"]).withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq"))).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nv") - 1)))
-    asks_any = count.agg(F.max("nq")).first()[0]
+    own = F.pmod(F.xxhash64("id"), F.col("nv"))
+    data = sides.select("dim", own.alias("vb"), F.lit(-1).cast("long").alias("qb"), "id", "v", F.lit(None).cast("double").alias("bound"))
+    queries = sides.where("q").dropDuplicates(["id"]).select("dim", own.alias("vb"), F.pmod(F.xxhash64("id"), F.col("nq")).alias("qb"), "id", "v", "nv")
+    asks_any, most = count.agg(F.max("nq"), F.max("nv")).first()
     if not asks_any:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    both = data.select("dim", "vb", "qb", "id", "v").unionByName(asks.select("dim", "vb", "qb", "id", "v"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block | None = None
@@ -129,10 +132,10 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
         ids: list[np.ndarray] = []
         held: list[np.ndarray] = []
 
-        def answer(i: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        def answer(i: np.ndarray, m: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
             q, o, s = [], [], []
-            for own, query in zip(i.tolist(), m, strict=True):
-                found, d = block.nearest(query, own, k)
+            for own, query, bound in zip(i.tolist(), m, bounds.tolist(), strict=True):
+                found, d, _ = block.nearest(query, own, k, np.inf if math.isnan(bound) else bound)
                 q.append(np.full(len(found), own))
                 o.append(found)
                 s.append(np.sqrt(d))
@@ -153,10 +156,21 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
                 else:
                     if block is None:
                         block = Block(np.concatenate(ids), np.concatenate(held))
-                    yield answer(i[lo:hi], m)
-
-    dealt = both.repartition(parts(spark), "dim", "vb").sortWithinPartitions("dim", "vb", "qb", "id")
-    found = dealt.select("dim", "vb", "qb", "id", "v").mapInArrow(search, "query_id long, id long, score double")
+                    yield answer(i[lo:hi], m, b.column(5).slice(lo, hi - lo).to_numpy(zero_copy_only=False))
+
+    def searched(asks: DataFrame) -> DataFrame:
+        columns = ["dim", "vb", "qb", "id", "v", "bound"]
+        dealt = data.unionByName(asks.select(columns)).repartition(parts(spark), "dim", "vb").sortWithinPartitions("dim", "vb", "qb", "id")
+        return dealt.select(columns).mapInArrow(search, "query_id long, id long, score double")
+
+    found = searched(queries.withColumn("bound", F.lit(None).cast("double")))
+    if most > 1:
+        found = stage(found, "own")
+        bounds = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).alias("bound"))
+        # each block of queries goes to each other block of vectors: rows grow with blocks, not with pairs
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("nv") - 1), lambda x: x != F.col("own"))
+        rest = queries.withColumnRenamed("vb", "own").join(bounds, "id", "left").withColumn("vb", F.explode(others))
+        found = found.unionByName(searched(rest))
     order = Window.partitionBy("query_id").orderBy("score", "id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -431,6 +431,24 @@ def test_neighbours(spark, monkeypatch):
     assert [x[0] for x in by[200]] == list(range(201, 211))
 
 
+def test_neighbours_verify_few(spark):
+    """Near-orthogonal vectors, and clustered ones: recall, and the share that is verified."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    held = np.stack(table["embedding"].to_numpy()).astype(np.float64)
+    rng = np.random.default_rng(9)
+    clustered = np.repeat(rng.standard_normal((100, 64)), 40, axis=0) + 0.3 * rng.standard_normal((4000, 64))
+    for v, least, share in ((held, 0.93, 0.3), (clustered, 0.93, 0.05)):
+        block = neighbours.Block(np.arange(len(v)), v)
+        hit = verified = asked = 0
+        for q in range(0, len(v), 20):
+            found, _, n = block.nearest(v[q], q, 10)
+            d = ((v - v[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hit += len(set(np.lexsort((np.arange(len(v)), d))[:10].tolist()) & set(found.tolist()))
+            verified, asked = verified + n, asked + 1
+        assert hit >= least * 10 * asked and verified <= share * asked * len(v)
+
+
 def test_neighbours_few(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).count() == 0
     got = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [3.0, 0.0])], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
