@@ -44,6 +44,11 @@ def directions(dim: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, PROJECTIONS))
 
 
+def _times(rows: list[np.ndarray], n: int) -> np.ndarray:
+    """How often each of ``n`` rows occurs in the lists."""
+    return np.bincount(np.concatenate(rows), minlength=n) if rows else np.zeros(n, np.int64)
+
+
 class Block:
     """One block of vectors: the sorted projections."""
 
@@ -55,30 +60,35 @@ class Block:
         self.sorted = np.take_along_axis(np.ascontiguousarray(p.T), self.order, axis=1)
         # a first radius: small against the spread of the block
         self.start = max(float(np.sqrt(vectors.var(axis=0).sum())) * 0.5, 1e-12)
+        # equal vectors may differ in the last digits of their projections
+        self.slack = float(np.abs(self.sorted).max()) * 1e-12
 
     def nearest(self, query: np.ndarray, own: int, k: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray, int]:
         """ids and squared distances of the block's nearest, by collision counting; windows stand
         for ``bound`` at most. With it, how many vectors were verified."""
         n = len(self.ids)
         at = query @ self.a
-        lo = np.array([np.searchsorted(self.sorted[j], at[j]) for j in range(PROJECTIONS)])
-        hi = lo.copy()
-        count = np.zeros(n, np.int16)
+        held: tuple[list[int], list[int]] | None = None  # the windows so far
+        count = np.zeros(n, np.int64)
         seen = self.ids == own
         left = int(n - seen.sum())
         rows: list[np.ndarray] = []
         dist: list[np.ndarray] = []
-        radius, best, got = self.start, np.inf, 0
+        # under a bound, half of it first: where that finds k already, the windows stay small
+        radius, best, got = (self.start if bound == np.inf else bound / 2), np.inf, 0
         while left > 0:
-            half = WIDTH * radius
-            for j in range(PROJECTIONS):
-                s = self.sorted[j]
-                a, b = np.searchsorted(s, at[j] - half, "left"), np.searchsorted(s, at[j] + half, "right")
-                if a < lo[j]:
-                    count[self.order[j, a : lo[j]]] += 1
-                if b > hi[j]:
-                    count[self.order[j, max(hi[j], a) : b]] += 1
-                lo[j], hi[j] = min(lo[j], a), max(hi[j], b)
+            half = WIDTH * radius + self.slack
+            lo = [int(s.searchsorted(x, "left")) for s, x in zip(self.sorted, at - half, strict=True)]
+            hi = [int(s.searchsorted(x, "right")) for s, x in zip(self.sorted, at + half, strict=True)]
+            if held is None:  # count what lies inside a window or outside of it, whichever is less
+                wide = [2 * (b - a) > n for a, b in zip(lo, hi, strict=True)]
+                inside = [self.order[j, lo[j] : hi[j]] for j in range(PROJECTIONS) if not wide[j]]
+                outside = [self.order[j, x] for j in range(PROJECTIONS) if wide[j] for x in (slice(lo[j]), slice(hi[j], n))]
+                count = sum(wide) + _times(inside, n) - _times(outside, n)
+            else:
+                grown = [self.order[j, x] for j in range(PROJECTIONS) for x in (slice(lo[j], held[0][j]), slice(held[1][j], hi[j]))]
+                count = count + _times(grown, n)
+            held = lo, hi
             new = np.flatnonzero((count >= THRESHOLD) & ~seen)
             if len(new):
                 seen[new] = True
@@ -92,7 +102,8 @@ class Block:
             if min(best, bound) <= radius:
                 break
             # where hardly anything collides yet, larger steps lose nothing
-            radius = min(radius * (STEP if 2 * count.max() >= THRESHOLD else 2.0), best, bound)
+            step = np.inf if bound < np.inf else STEP if 2 * count.max() >= THRESHOLD else 2.0
+            radius = min(radius * step if radius > 0 else bound, best, bound)
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0), 0
         r, d = np.concatenate(rows), np.concatenate(dist)
