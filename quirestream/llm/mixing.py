@@ -7,8 +7,9 @@ to the other, in a direction drawn so that each expectation stays, until one of
 has none or all of its size. The sum of mass never changes, so a source misses its
 target by less than one document. Blocks of about ``block`` documents are rounded
 each on its own and leave one fractional document; these residuals go up a tree whose
-nodes join ``block`` blocks, until one is left for a source. No group is larger than a
-block, however many documents a source has.
+nodes join ``block`` blocks, until one is left for a source. Blocks are dealt by a hash of
+id and size, so groups stay small however many documents a source has; rows that share id
+and size (or have no id and one size) share a block, which grows with their number.
 
 Defined results: a null text has size 0; documents of size 0 take 0 words; a null
 source is a source of its own, last in order; repeated rows are rounded as rows of
