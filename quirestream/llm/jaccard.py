@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirestream.llm.blocks import BLOCK, dealt, lanes_for, packed, spread, unpacked
+from quirestream.llm.blocks import dealt, lanes_for, lean, packed, spread, unpacked
 from quirestream.llm.graph import components
 from quirestream.llm.staging import parts, small_batches, stage
 from quirestream.llm.tokens import SPACED, U, grams, mix64, words
@@ -50,8 +50,8 @@ from quirestream.llm.tokens import SPACED, U, grams, mix64, words
 K, SIM = 5, 80
 #: Counters of the frequency sketch; members of a bundle that one task joins; ids that are broadcast at most.
 SKETCH, CHUNK, SEND = 1 << 22, 2048, 1_000_000
-#: Rows of one block of shingles at most.
-ROWS = 1 << 16
+#: Shingles and rows of one block at most, unless one row has more.
+BLOCK, ROWS = 1 << 20, 1 << 16
 FANOUT = 8
 
 
@@ -80,6 +80,7 @@ def _long(x: list[int]) -> pa.Array:
 def set_table(docs: DataFrame, text_col: str, k: int) -> DataFrame:
     """id (the set's name), n and the set itself, of each row that has one."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s for s in shingle_sets(b.column(0), k) if len(s)]
@@ -105,6 +106,7 @@ def heads(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     lists = f"id array<{kind}>, n array<long>, key array<long>"
     names = ["block", "lane", "kind", "k", "c", "id", "n", "key"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId() << 32, 0
         ids: list[pa.Array] = []
@@ -115,15 +117,18 @@ def heads(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             nonlocal seen
             block, seen = part + seen, seen + 1
             n = np.array([len(s) for s in held])
-            every, row = np.concatenate(held), np.repeat(np.arange(len(held)), n)
+            keys = _long([_key(s) for s in held])
+            every = np.concatenate(held)
+            held.clear()
             order = np.argsort(every, kind="stable")
-            every, row = every[order], row[order]
+            every = every[order]
+            row = np.repeat(np.arange(len(n), dtype=np.uint32), n)[order]
+            del order
             out = [(lane, packed(every[at] >> short, True), packed(row[at])) for lane, at in dealt(spread(every, lanes))]
             m = len(out)
             cols = [pa.array([block] * (m + 1)), pa.array([x[0] for x in out] + [block % lanes]), pa.array([0] * m + [5], pa.int32()), *(pa.array([x[i] for x in out] + [None], pa.binary()) for i in (1, 2))]
-            keys = _long([_key(s) for s in held])
             own = [pa.concat_arrays(ids), pa.array(n.astype(np.int64)), pa.array(keys.to_numpy(), mask=n == 0)]
-            return pa.RecordBatch.from_arrays([*cols, *(pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [len(held)], pa.int32()), x) for x in own)], names)
+            return pa.RecordBatch.from_arrays([*cols, *(pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [len(n)], pa.int32()), x) for x in own)], names)
 
         for b in batches:
             at = 0
@@ -134,12 +139,13 @@ def heads(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     ids.append(b.column(0).slice(at, i + 1 - at))
                     at = i + 1
                     yield send()
-                    ids, held, total = [], [], 0
+                    ids, total = [], 0
             if at < b.num_rows:
                 ids.append(b.column(0).slice(at))
         if held:
             yield send()
 
+    @lean
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane, got = None, []
 
@@ -174,6 +180,7 @@ def heads(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         if got:
             yield solve()
 
+    @lean
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a block's own row comes before its counts
         block = own = None
@@ -216,6 +223,7 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
     """How many texts have each shingle, by shingle modulo ``SKETCH``; the same few MB for any input."""
     blocks = 16
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int32)
         for b in batches:
@@ -256,6 +264,7 @@ def needed(total: np.ndarray | int, sim: int) -> np.ndarray | int:
 
 
 def _prefixes(sets: DataFrame, level, sim: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lv = level.value
         for b in batches:
@@ -299,6 +308,7 @@ def _name(ids: np.ndarray) -> int:
 def bundles(prefixes: DataFrame, sim: int) -> DataFrame:
     """bundle and id: the sets that share a shingle of their prefixes; same members, one bundle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for token, ids, p in _runs(batches):
@@ -468,6 +478,7 @@ def possible(sizes: np.ndarray, maps: list[np.ndarray], labels: np.ndarray, sim:
 def signatures(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """id, n and the short form of the bitmap of the sets in ``ids``."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             maps = [nibbles(loads(s, _buckets(len(s)))) for s in _views(b.column(2))]
@@ -489,6 +500,7 @@ def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
 def _by_bundle(rows: DataFrame, solve, schema: str) -> DataFrame:
     """``solve(columns)`` for each bundle; it returns rows. The first column is the bundle."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
         out: list[tuple] = []

@@ -3,6 +3,7 @@ nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import itertools
 import math
@@ -11,6 +12,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -607,6 +609,25 @@ def test_language_model(spark, corpus, monkeypatch, known, share):
         assert np.allclose(sorted(mine[i]), sorted(exact(tok(r[1])) for r in corpus if r[0] == i), rtol=1e-4, atol=1e-3)
 
 
+def test_workers_give_memory_back():
+    """What a task's numbers took goes back when its stream ends, also where something small outlives them."""
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("no malloc_trim here")
+    held = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+    stay, most = [], []
+
+    @blocks.lean
+    def run(batches):
+        many = [np.ones(12_000) for _ in range(2_000)]
+        stay.append(many[-1])
+        most.append(held())
+        del many
+        yield from batches
+
+    assert list(run(iter([1, 2]))) == [1, 2]
+    assert held() < most[0] - 100
+
+
 def test_language_model_learns(spark):
     rng = random.Random(10)
     follow = {i: rng.sample(range(40), 3) for i in range(40)}
