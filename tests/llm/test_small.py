@@ -609,6 +609,39 @@ def test_language_model(spark, corpus, monkeypatch, known, share):
         assert np.allclose(sorted(mine[i]), sorted(exact(tok(r[1])) for r in corpus if r[0] == i), rtol=1e-4, atol=1e-3)
 
 
+def test_language_model_keeps_what_precedes_rare_words(spark, monkeypatch):
+    """Words of one count, too many for the dishes: with their contexts every pair of training counts,
+    scores are those of counting, and the words of a context with the unseen one sum to one."""
+    monkeypatch.setattr(pyp_lm, "KNOWN", 8)
+    rng = random.Random(3)
+    order = [f"t{i}" for i in range(40)]
+    rows = [(i, " ".join(order[j % 40] for j in range(s, s + 40)), None, None) for i, s in enumerate(rng.randrange(40) for _ in range(30))]
+    rows += [(40, "t3 t4 new t5", None, None), (41, "t4 t3 t9 t9", None, None), (42, "", None, None), (43, None, None, None)]
+    df, learned = table(spark, rows), [r[1].split() for r in rows[:30]]
+    model, counts = pyp_lm.train(df, where="doc_id < 30", rare_contexts=True)
+    assert len(model.vocabulary.hashes) == 0
+    near, plain = {r.doc_id: r for r in pyp_lm.score(df, model, counts).collect()}, {r.doc_id: r for r in pyp_lm.score(df, *pyp_lm.train(df, where="doc_id < 30")).collect()}
+    pairs = Counter(p for t in learned for p in zip(["<", *t[:-1]], t, strict=True))
+    contexts, customers, tables = Counter(w for _, w in pairs), Counter(), Counter(u for u, _ in pairs)
+    for (u, _), n in pairs.items():
+        customers[u] += n
+    b = model.behind
+
+    def chance(u, w):
+        parent = (contexts[w] - b.parent_discount if contexts[w] else 1 + b.parent_discount * len(contexts)) / (1 + len(pairs))
+        return ((pairs[u, w] - b.discount if pairs[u, w] else 0) + (1 + b.discount * tables[u]) * parent) / (1 + customers[u])
+
+    assert all(math.isclose(sum(chance(u, w) for w in [*contexts, "new"]), 1, rel_tol=1e-9) for u in ["<", "t3", "new"])
+    n = Counter(w for t in learned for w in t)
+    rare = lambda w: float(model.rare(np.array([n[w]]))[0])
+    for i, t, *_ in rows:
+        t = (t or "").split()
+        more = sum(math.log10(chance(u, w) / rare(w)) for u, w in zip(["<", *t[:-1]], t, strict=False))
+        assert math.isclose(near[i].score, plain[i].score + more, rel_tol=1e-4, abs_tol=1e-3)
+        assert near[i].n_known == plain[i].n_known and near[i].base_score == pytest.approx(plain[i].base_score)
+    assert near[0].score > plain[0].score + 20
+
+
 def test_workers_give_memory_back():
     """What a task's numbers took goes back when its stream ends, also where something small outlives them."""
     if not hasattr(ctypes.CDLL(None), "malloc_trim"):
