@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirestream.config import DEFAULT, Config
@@ -14,12 +14,19 @@ from quirestream.functions import tables as T
 from quirestream.operators.layout import containers
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the column ``name``, not computed anew for each mention: a generator's output is never
+    put in place of its name, neither by what follows nor by a filter on it."""
+    made = F.explode(F.array(value)).alias("__made")
+    return df.select("*", made).withColumn(name, F.col("__made")).drop("__made")
+
+
 def select_tables(boxes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Every candidate with ``rows`` tidied (and polished where accepted) and ``verdict``:
     the first reason that rejects it, or accepted."""
     key = ["doc_id", "page", "tbl_ord"]
     outer = containers(boxes).select(*key, F.lit(True).alias("__outer"))
-    found = boxes.join(outer, key, "left").withColumn("rows", T.tidy(F.col("rows"), config))
+    found = _once(boxes.join(outer, key, "left"), "rows", T.tidy(F.col("rows"), config))
     rows, cols = F.col("rows"), F.coalesce(F.size(F.get("rows", 0)), F.lit(0))
     verdict = F.when(F.coalesce("__outer", F.lit(False)) & F.lit(config.table_drop_containers), "container").when(F.size(rows) < config.table_min_rows, "rows").when(T.is_bullet_list(rows, config), "bullets")
     few = (cols < config.table_min_cols) & ~T.is_clean_data_table(rows, config)
@@ -27,7 +34,7 @@ def select_tables(boxes: DataFrame, config: Config = DEFAULT) -> DataFrame:
     verdict = verdict.when(few, "columns").when(~clean & (T.concentration(rows) > config.table_max_cell_concentration), "concentration").otherwise("accepted")
     if not config.extract_tables:
         verdict = F.lit("off")
-    found = found.withColumn("verdict", verdict)
+    found = _once(found, "verdict", verdict)
     return found.withColumn("rows", F.when(F.col("verdict") == "accepted", T.polish(rows, config)).otherwise(rows)).drop("__outer")
 
 

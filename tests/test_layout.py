@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirestream.config import DEFAULT
+from quirestream.functions import tables
 from quirestream.functions.markdown import element
-from quirestream.operators import assemble, guards, layout, ocr
+from quirestream.operators import assemble, guards, layout, ocr, page_tables
 from quirestream.streaming import limits
 
 LINE = "doc_id long, page int, line_ord int, text string, size double, bold boolean, top double, x0 double"
@@ -120,3 +121,14 @@ def test_limit_by_key_batch_and_stream(spark, events, tmp_path):
     q = limits.limit_stream(stream, "user_id", F.col("t"), "event_id", most=3, window=20.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.event_id: r.retry_after for r in spark.sql("select * from limited").collect()} == got
+
+
+def test_tables_are_not_tidied_for_each_mention(spark):
+    """A filter on the verdict does not compute the cells anew for each mention of them."""
+    box = [F.lit(float(i)).alias(n) for i, n in enumerate(("x0", "top", "x1", "bottom"))]
+    boxes = spark.range(3).select(F.col("id").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("tbl_ord"), *box, F.array(F.array(F.col("id").cast("string"), F.lit("b")), F.array(F.lit("c"), F.lit("d"))).alias("rows"))
+    cleaned = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("cid:")
+    once = cleaned(boxes.select(tables.tidy(F.col("rows"))))
+    accepted = page_tables.select_tables(boxes).where("verdict = 'accepted'")
+    assert once and cleaned(accepted) <= 2 * once  # nine times before
+    assert sorted(r.doc_id for r in accepted.collect()) == sorted(r.doc_id for r in page_tables.select_tables(boxes).collect() if r.verdict == "accepted")
