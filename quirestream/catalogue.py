@@ -612,7 +612,7 @@ def q46_word_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q47_pages_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Whole laid-out documents: words, table candidates and pages to Markdown."""
-    # pages are dealt whole, before their words become rows: a row a word would shuffle four times as many bytes
+    # pages are dealt whole, before their words become rows: rows of words are more bytes to shuffle
     pages = _pages(spark, d)
     words = pages.repartition("doc_id", "page").select("doc_id", "page", F.posexplode("texts").alias("at", "text"))
     words = _laid_out(words.select("doc_id", ((F.col("page") - 1) * 270 + F.col("at")).alias("i"), "text", "page"), F.col("page"))
