@@ -51,13 +51,13 @@ def _in_one_task(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component`` (least id reachable) of every id in the edges ``a``, ``b``.
 
-    Each round is a written table, so a lost executor costs one round. Stars shrink the
+    ``edges`` are read twice at least. Each round is a written table, so a lost executor costs one round. Stars shrink the
     depth of each component geometrically; a vertex with very many edges is summed
     before the shuffle and its join is one that Spark splits."""
-    pairs = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     if pairs.count() <= SMALL:
         return _in_one_task(pairs)
-    mark = None
+    pairs, mark = stage(pairs, "edges"), None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -23,7 +23,9 @@ at least ``sim`` percent of the union. The result is exact but for 64-bit hashes
    more than one component. Bundles above ``CHUNK`` members are dealt into chunks, in the
    last round into all pairs of chunks, so no task holds an unbounded group.
 
-Only edges that join two components are written (fewer than there are rows).
+Only edges that join two components are written (fewer than there are rows). What a scan
+of a written table tells again (ids, a filter, few distinct edges) is not written: each file
+costs a process of an executor where the shared folder is a local one.
 
 Defined results: A-Z are lower-cased; a text of fewer than ``k`` words is one shingle; no
 words or a null text: empty set, linked with nothing; ids may be of any type that has an
@@ -243,7 +245,7 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
 
     sums = sets.select("grams").mapInArrow(count, "block long, part binary").repartition(blocks, "block").mapInArrow(add, "block long, part binary")
     out = np.zeros(SKETCH, np.uint32)
-    for r in stage(sums, "sketch").collect():  # SKETCH counters of four bytes in all
+    for r in sums.collect():  # SKETCH counters of four bytes in all
         out[r.block * (SKETCH // blocks) : (r.block + 1) * (SKETCH // blocks)] += np.frombuffer(r.part, np.uint32)
     return out
 
@@ -541,7 +543,7 @@ def _links(rows: DataFrame, sets: DataFrame, signs: DataFrame, sim: int) -> Data
 
     left = _by_bundle(rows.join(signs, "id").select("bundle", "id", "label", "side", "n", "bits"), cut, "bundle long, id long, label long, side long")
     left = stage(left.distinct(), "possible")
-    wanted = _only(sets.select("id", "grams"), stage(left.select("id").distinct(), "ids")).dropDuplicates(["id"])
+    wanted = _only(sets.select("id", "grams"), left.select("id").distinct()).dropDuplicates(["id"])
     return _by_bundle(left.join(wanted, "id").select("bundle", "id", "label", "side", "grams"), solve, "a long, b long")
 
 
@@ -572,7 +574,7 @@ def similar_sets(sets: DataFrame, sim: int = SIM) -> DataFrame:
     spark = sets.sparkSession
     level = spark.sparkContext.broadcast(levels(frequency_sketch(sets)))
     rows = stage(bundles(_prefixes(sets, level, sim), sim), "bundles")
-    signs = stage(signatures(sets, stage(rows.select("id").distinct(), "ids")), "signatures")
+    signs = stage(signatures(sets, rows.select("id").distinct()), "signatures")
     sized = rows.groupBy("bundle").agg(F.count(F.lit(1)).alias("c"))
     largest = rows.join(sized, "bundle").groupBy("id").agg(F.max(F.struct("c", "bundle")).alias("m")).select("m.bundle", "id")
     edges = stage(_links(_chunked(_labelled(largest, None), False), sets, signs, sim), "links1")
@@ -596,7 +598,6 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     classes = stage(classes, "classes")
     # a set links with none if more of its shingles are its own than it may have apart from another
     some = classes.where(F.col("lonely") <= F.col("n") - F.ceil(F.col("n") * sim / 100)).select("key", "set_id")
-    some = stage(some, "some")
     texts = docs.select(F.col(id_col).alias("set_id"), F.col(text_col).alias("t"))
     texts = texts.join(_sent(some.select("set_id").distinct()), "set_id", "left_semi")
     sets = set_table(texts, "t", k).join(_sent(some.select(F.col("key").alias("id"))), "id", "left_semi")

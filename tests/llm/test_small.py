@@ -161,6 +161,17 @@ def test_jaccard_empty_and_null(spark):
     assert sorted(tuple(r) for r in jaccard.near_copies(table(spark, [(1, None, None, None), (2, "", None, None)])).collect()) == [(1, 0, 1, 1), (2, 0, 2, 2)]
 
 
+def test_jaccard_writes_what_it_needs(spark, corpus, monkeypatch):
+    """Ids, filters, the sketch and few edges are not written: where the shared folder is a local one, each file starts
+    a process of the executor, which counts as large as the executor while it starts."""
+    written = []
+    for module in (jaccard, graph):
+        monkeypatch.setattr(module, "stage", lambda df, name, f=module.stage: (written.append(name), f(df, name))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_copies(table(spark, corpus)).collect() if r.doc_id is not None}
+    assert got == brute_components([(r[0], r[1]) for r in corpus])
+    assert not {"sketch", "ids", "some", "edges"} & set(written) and {"heads", "sets", "links1"} <= set(written)
+
+
 @pytest.mark.parametrize("small", [2_000_000, 0])
 def test_components(spark, monkeypatch, small):
     monkeypatch.setattr(graph, "SMALL", small)
