@@ -10,6 +10,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -653,6 +654,31 @@ def test_language_model_keeps_what_precedes_rare_words(spark, monkeypatch):
     assert near[0].score > plain[0].score + 20
 
 
+def test_language_model_leaves_no_shuffles(spark, corpus, monkeypatch):
+    """The shuffle files of each table that the model writes are gone soon after, also while its frames are held."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in disk.getAllFiles().mkString("/").split("/") if n.startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, held, names, stage = spark.conf.get(key), [], [], pyp_lm.stage
+
+    def watched(df, name):
+        before = files()
+        held.append((df, stage(df, name)))
+        end = time.monotonic() + 10
+        while files() - before and time.monotonic() < end:
+            time.sleep(0.1)
+        assert not files() - before, name
+        names.append(name)
+        return held[-1][1]
+
+    monkeypatch.setattr(pyp_lm, "stage", watched)
+    df = table(spark, corpus)
+    model, counts = pyp_lm.train(df, where="doc_id % 5 <> 1", rare_contexts=True)
+    scored = pyp_lm.score(df, model, counts)
+    assert sorted(map(tuple, scored.collect()), key=str) == sorted(map(tuple, scored.collect()), key=str)
+    assert {"counts", "pairs", "restaurants", "behind", "local"} <= set(names) and spark.conf.get(key) == was
+
+
 def test_workers_give_memory_back():
     """What a task's numbers took goes back when its stream ends, also where something small outlives them."""
     if not hasattr(ctypes.CDLL(None), "malloc_trim"):
