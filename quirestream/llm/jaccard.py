@@ -24,8 +24,9 @@ at least ``sim`` percent of the union. The result is exact but for 64-bit hashes
    last round into all pairs of chunks, so no task holds an unbounded group.
 
 Only edges that join two components are written (fewer than there are rows). What a scan
-of a written table tells again (ids, a filter, few distinct edges) is not written: each file
-costs a process of an executor where the shared folder is a local one.
+of a written table tells again (ids, a filter, few distinct edges) is not written, and short
+rows are written in few files: each file costs a process of an executor where the shared
+folder is a local one.
 
 Defined results: A-Z are lower-cased; a text of fewer than ``k`` words is one shingle; no
 words or a null text: empty set, linked with nothing; ids may be of any type that has an
@@ -79,6 +80,11 @@ def _long(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, U).view(np.int64))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Short rows, to be written in an eighth of a shuffle's partitions."""
+    return rows.repartition(max(2, parts(rows.sparkSession) // 8))
+
+
 def set_table(docs: DataFrame, text_col: str, k: int) -> DataFrame:
     """id (the set's name), n and the set itself, of each row that has one."""
 
@@ -577,15 +583,15 @@ def similar_sets(sets: DataFrame, sim: int = SIM) -> DataFrame:
     signs = stage(signatures(sets, rows.select("id").distinct()), "signatures")
     sized = rows.groupBy("bundle").agg(F.count(F.lit(1)).alias("c"))
     largest = rows.join(sized, "bundle").groupBy("id").agg(F.max(F.struct("c", "bundle")).alias("m")).select("m.bundle", "id")
-    edges = stage(_links(_chunked(_labelled(largest, None), False), sets, signs, sim), "links1")
+    edges = stage(_few(_links(_chunked(_labelled(largest, None), False), sets, signs, sim)), "links1")
     left = stage(_labelled(rows, edges), "mixed")
     if not left.isEmpty():
         one = left.groupBy("bundle", "label").agg(F.min("id").alias("id"))
-        more = stage(_links(_chunked(one, False), sets, signs, sim), "links2")
+        more = stage(_few(_links(_chunked(one, False), sets, signs, sim)), "links2")
         edges = edges.unionByName(more)
         left = stage(_labelled(left, edges), "mixed")
     if not left.isEmpty():
-        more = stage(_links(_chunked(left, True), sets, signs, sim), "links3")
+        more = stage(_few(_links(_chunked(left, True), sets, signs, sim)), "links3")
         edges = edges.unionByName(more)
     return edges
 
@@ -593,7 +599,7 @@ def similar_sets(sets: DataFrame, sim: int = SIM) -> DataFrame:
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, sim: int = SIM) -> DataFrame:
     """``id_col``, ``n_shingles``, ``set_id`` (least id with the same set) and ``component_id`` of every row."""
     small_batches(docs.sparkSession)
-    rows = stage(heads(docs, id_col, text_col, k), "heads")
+    rows = stage(_few(heads(docs, id_col, text_col, k)), "heads")
     classes = rows.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("set_id"), F.max("n").alias("n"), F.max("lonely").alias("lonely"))
     classes = stage(classes, "classes")
     # a set links with none if more of its shingles are its own than it may have apart from another
