@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirestream.llm import decontam, jaccard, langid, linededup, mixing
 from quirestream.llm.naming import free
-from quirestream.llm.staging import stage
+from quirestream.llm.staging import few, stage
 
 #: Ids of dropped documents that are sent to every task; more are joined by a shuffle.
 SEND = 1_000_000
@@ -38,9 +38,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows without id, or of one id with several texts, are documents like others."""
     own = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"))
     (key,) = free(docs.columns, "key")
-    found = stage(jaccard.near_copies(docs.select(own.alias("doc_id"), "text")), "components")
-    twice = stage(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)), "twice")
-    dropped = stage(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(key)).distinct(), "dropped")
+    found = stage(few(jaccard.near_copies(docs.select(own.alias("doc_id"), "text"))), "components")
+    twice = stage(few(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))), "twice")
+    dropped = stage(few(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(key)).distinct()), "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= SEND else dropped
     kept = docs.withColumn(key, own).join(dropped, key, "left_anti")
     if not twice.isEmpty():

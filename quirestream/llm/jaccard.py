@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from quirestream.llm.blocks import dealt, lanes_for, lean, packed, spread, unpacked
 from quirestream.llm.graph import components
-from quirestream.llm.staging import parts, small_batches, stage
+from quirestream.llm.staging import few, parts, small_batches, stage
 from quirestream.llm.tokens import SPACED, U, grams, mix64, words
 
 K, SIM = 5, 80
@@ -80,11 +80,6 @@ def _long(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, U).view(np.int64))
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """Short rows, to be written in an eighth of a shuffle's partitions."""
-    return rows.repartition(max(2, parts(rows.sparkSession) // 8))
-
-
 def set_table(docs: DataFrame, text_col: str, k: int) -> DataFrame:
     """id (the set's name), n and the set itself, of each row that has one."""
 
@@ -548,7 +543,7 @@ def _links(rows: DataFrame, sets: DataFrame, signs: DataFrame, sim: int) -> Data
         return [(ids[i], ids[j]) for i, j in tree_links([np.frombuffer(d, U) for d in data], np.array(labels), sim, side)]
 
     left = _by_bundle(rows.join(signs, "id").select("bundle", "id", "label", "side", "n", "bits"), cut, "bundle long, id long, label long, side long")
-    left = stage(left.distinct(), "possible")
+    left = stage(few(left.distinct()), "possible")
     wanted = _only(sets.select("id", "grams"), left.select("id").distinct()).dropDuplicates(["id"])
     return _by_bundle(left.join(wanted, "id").select("bundle", "id", "label", "side", "grams"), solve, "a long, b long")
 
@@ -579,19 +574,19 @@ def similar_sets(sets: DataFrame, sim: int = SIM) -> DataFrame:
     """Edges a, b between ids of sets that link: enough of them for the components."""
     spark = sets.sparkSession
     level = spark.sparkContext.broadcast(levels(frequency_sketch(sets)))
-    rows = stage(bundles(_prefixes(sets, level, sim), sim), "bundles")
-    signs = stage(signatures(sets, rows.select("id").distinct()), "signatures")
+    rows = stage(few(bundles(_prefixes(sets, level, sim), sim)), "bundles")
+    signs = stage(few(signatures(sets, rows.select("id").distinct())), "signatures")
     sized = rows.groupBy("bundle").agg(F.count(F.lit(1)).alias("c"))
     largest = rows.join(sized, "bundle").groupBy("id").agg(F.max(F.struct("c", "bundle")).alias("m")).select("m.bundle", "id")
-    edges = stage(_few(_links(_chunked(_labelled(largest, None), False), sets, signs, sim)), "links1")
-    left = stage(_labelled(rows, edges), "mixed")
+    edges = stage(few(_links(_chunked(_labelled(largest, None), False), sets, signs, sim)), "links1")
+    left = stage(few(_labelled(rows, edges)), "mixed")
     if not left.isEmpty():
         one = left.groupBy("bundle", "label").agg(F.min("id").alias("id"))
-        more = stage(_few(_links(_chunked(one, False), sets, signs, sim)), "links2")
+        more = stage(few(_links(_chunked(one, False), sets, signs, sim)), "links2")
         edges = edges.unionByName(more)
-        left = stage(_labelled(left, edges), "mixed")
+        left = stage(few(_labelled(left, edges)), "mixed")
     if not left.isEmpty():
-        more = stage(_few(_links(_chunked(left, True), sets, signs, sim)), "links3")
+        more = stage(few(_links(_chunked(left, True), sets, signs, sim)), "links3")
         edges = edges.unionByName(more)
     return edges
 
@@ -599,9 +594,9 @@ def similar_sets(sets: DataFrame, sim: int = SIM) -> DataFrame:
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, sim: int = SIM) -> DataFrame:
     """``id_col``, ``n_shingles``, ``set_id`` (least id with the same set) and ``component_id`` of every row."""
     small_batches(docs.sparkSession)
-    rows = stage(_few(heads(docs, id_col, text_col, k)), "heads")
+    rows = stage(few(heads(docs, id_col, text_col, k)), "heads")
     classes = rows.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("set_id"), F.max("n").alias("n"), F.max("lonely").alias("lonely"))
-    classes = stage(classes, "classes")
+    classes = stage(few(classes), "classes")
     # a set links with none if more of its shingles are its own than it may have apart from another
     some = classes.where(F.col("lonely") <= F.col("n") - F.ceil(F.col("n") * sim / 100)).select("key", "set_id")
     texts = docs.select(F.col(id_col).alias("set_id"), F.col(text_col).alias("t"))
@@ -609,7 +604,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sets = set_table(texts, "t", k).join(_sent(some.select(F.col("key").alias("id"))), "id", "left_semi")
     labels = components(similar_sets(stage(sets, "sets"), sim))
     classes = classes.join(labels.withColumnRenamed("id", "key"), "key", "left").select("key", "set_id", F.coalesce("component", "key").alias("label"))
-    classes = stage(classes, "labelled")
+    classes = stage(few(classes), "labelled")
     least = classes.groupBy("label").agg(F.min("set_id").alias("component_id"))
     classes = classes.join(least, "label").select("key", "set_id", "component_id")
     out = rows.join(classes, "key", "left")

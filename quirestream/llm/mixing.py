@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirestream.llm.staging import stage
+from quirestream.llm.staging import few, stage
 
 #: Words whose number is a document's size.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,7 +91,7 @@ def mix_to_weights(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), c
     blocks, depth = math.ceil(most / block), 0
     while True:
         grouped = level.groupBy("source", "block").agg(_rounded(F.array_sort(F.collect_list("x")), seed + depth).alias("state"))
-        grouped = stage(grouped.select("source", "block", "state.left", "state.done"), f"mix{depth}")
+        grouped = stage(few(grouped.select("source", "block", "state.left", "state.done")), f"mix{depth}")
         finished.append(grouped.select(F.explode("done").alias("x")))
         if blocks <= 1:
             break

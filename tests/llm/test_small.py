@@ -22,7 +22,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quirestream.llm import blocks, decontam, graph, jaccard, langid, linededup, mixing, neighbours, pii, pyp_lm, repeats, toxicity
+import corpus_pipeline
+from quirestream.llm import blocks, decontam, graph, jaccard, langid, linededup, mixing, neighbours, pii, pyp_lm, repeats, staging, toxicity
 from quirestream.llm.tokens import ALNUM, SPACED, words
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -175,6 +176,31 @@ def test_jaccard_writes_what_it_needs(spark, corpus, monkeypatch):
     assert files["heads"] <= 2 and files["links1"] <= 2
 
 
+def test_short_rows_go_to_few_files(spark, corpus, monkeypatch):
+    """Tables of short rows don't get a file for each partition of a shuffle, however many and small those are."""
+    written = []
+    write = staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df, name: (written.append((name, write(df, name))), written[-1][1])[1])
+    for module in (jaccard, mixing, corpus_pipeline):
+        monkeypatch.setattr(module, "stage", staging.stage)
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = table(spark, corpus).withColumn("n_chars", F.lit(0).cast("long"))
+        kept = corpus_pipeline.near_copies(spark, docs, "")
+        brute = brute_components([(r[0], r[1]) for r in corpus])
+        assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {c for _, c in brute.values()}
+        assert mixing.mix_to_weights(docs).count() == len(corpus)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    files = {name: len(df.inputFiles()) for name, df in written}
+    short = {"heads", "classes", "bundles", "signatures", "possible", "links1", "mixed", "labelled", "components", "twice", "dropped", "targets", "mix0"}
+    assert short <= set(files) and all(files[x] <= 4 for x in short), files
+
+
 @pytest.mark.parametrize("small", [2_000_000, 0])
 def test_components(spark, monkeypatch, small):
     monkeypatch.setattr(graph, "SMALL", small)
