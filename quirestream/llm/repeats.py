@@ -21,7 +21,9 @@ whose surroundings (``SPAN`` bytes to both sides) are equal need no comparison,
 them stands for all; the middle of a long repeat is settled so. Only distinct surroundings
 of anchors that occur again are shuffled as bytes. An anchor hash with more than ``GROUP``
 of these is settled by counting the hashes of its windows of ``SPAN`` bytes instead: a sum
-that is combined before the shuffle, so no task holds an unbounded group.
+that is combined before the shuffle, so no task holds an unbounded group. Surroundings are
+not written, and short rows are written in few files: each file costs an executor three
+processes where the shared folder is a local one. Workers give memory back when a task ends.
 
 Defined results: null text is empty; texts shorter than ``SPAN`` bytes lose nothing;
 matches don't cross texts; overlapping occurrences in one text count; repeated rows are
@@ -42,7 +44,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirestream.llm.staging import parts, stage
+from quirestream.llm.blocks import lean
+from quirestream.llm.staging import few, parts
+from quirestream.llm.staging import stage_tidily as stage
 from quirestream.llm.tokens import U, buffers, mix64, slices
 
 SPAN, GRAM = 200, 32
@@ -109,6 +113,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     the surroundings, position."""
     key = docs.schema[id_col].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId() << 40, 0
         for b in batches:
@@ -127,6 +132,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (name.view(np.int64), around.view(np.int64), (pos - cut[doc]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(j - i, dtype=np.int64) + (part + seen)), b.column(0).slice(i, j - i), pa.array(np.diff(cut)), pa.array(sha, pa.binary()), *lists], ["row", "id", "n", "sha", "name", "around", "pos"])
                 seen += j - i
+        _POWERS.clear()
 
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return texts.mapInArrow(run, f"row long, id {key}, n long, sha binary, name array<long>, around array<long>, pos array<int>")
@@ -140,6 +146,7 @@ def _combined(lists: DataFrame) -> DataFrame:
     again in this batch, and another row stands for them; it is settled, and salted, so that
     what is very frequent does not meet in one task. 1: the only one. 2: stands for several."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             name, around, pos = (c.flatten().to_numpy() for c in b.columns[1:4])
@@ -162,6 +169,7 @@ def _meetings(places: DataFrame) -> DataFrame:
     """What has to be settled. kind 0: the surroundings occur elsewhere, too. kind 1: the
     first of its surroundings, at a hash with several."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a stream in order of (name, around); no group is held, only its first rows
         name = around = None
@@ -309,6 +317,7 @@ class Suffixes:
 def _settled(contexts: DataFrame) -> DataFrame:
     """row, start, end of the repeats among distinct surroundings."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
         out: list[tuple] = []
@@ -337,19 +346,22 @@ def _settled(contexts: DataFrame) -> DataFrame:
 
 
 def _windows(contexts: DataFrame) -> DataFrame:
-    """The same for hashes with very many surroundings: windows whose hash occurs twice."""
+    """The same for hashes with very many surroundings: windows that have this anchor and whose hash occurs twice."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], []]
             for _, r, p, l, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                s = np.arange(len(c) - SPAN + 1)
+                rolling = Rolling(np.frombuffer(c, np.uint8))
+                s = np.flatnonzero(_lowest(len(c), rolling) == l)
                 if len(s) > 0:
                     out[0].append(np.full(len(s), r))
                     out[1].append(s + (p - l))
-                    out[2].append(Rolling(np.frombuffer(c, np.uint8)).of(s, s + SPAN).view(np.int64))
+                    out[2].append(rolling.of(s, s + SPAN).view(np.int64))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["row", "start", "h"])
+        _POWERS.clear()
 
     found = contexts.select("name", "row", "pos", "l", "ctx").mapInArrow(run, "row long, start long, h long").distinct()
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
@@ -372,6 +384,7 @@ CONTEXT = "name long, row long, pos long, l long, ctx binary"
 def _cut(before: int, after: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Surroundings of anchors (row, list of pos and name, text) as bytes; l: bytes before the anchor."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], ["name", "row", "pos", "l", "ctx"])
@@ -407,37 +420,38 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     bytes: start, end) and ``kept_sha256`` of the other bytes."""
     scan = stage(_scan(docs, id_col, text_col), "anchors")
     classes = scan.groupBy("sha").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
-    single = stage(classes.join(scan.select("row", "id", "n"), "row").select("row", "id", "sha", "n", "copies"), "classes")
+    single = stage(few(classes.join(scan.select("row", "id", "n"), "row").select("row", "id", "sha", "n", "copies")), "classes")
     lone = scan.select("row", "name", "around", "pos").join(single.where(f"n >= {SPAN}").select("row", F.col("copies").alias("c")), "row")
-    places = _combined(lone)
-    meet = stage(_meetings(places), "meetings")
+    # by row from here on, so that each joins where it is. whole: anchors of kind 0; at: those of kind 1
+    lists = _meetings(_combined(lone)).groupBy("row").agg(F.collect_list(F.expr("if(kind = 0, cast(pos as long), null)")).alias("whole"), F.collect_list(F.expr("if(kind = 1, struct(pos, name), null)")).alias("at"))
+    meet = stage(few(lists.join(single, "row").select("row", "id", "sha", "n", "copies", "whole", "at")), "meetings")
     # surroundings as bytes, where there are several for one hash
-    need = meet.where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("pos", "name")).alias("at"))
-    need = stage(need.join(single, "row").select("row", "id", "sha", "at"), "need")
+    need = meet.where(F.size("at") > 0).select("row", "id", "sha", "at")
+    ones = need.select("row", "id", "sha", F.explode("at").alias("x")).select("row", "id", "sha", "x.pos", "x.name")
+    large = stage(few(ones.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP).select("name")), "large")
 
-    contexts = _texts(docs, id_col, text_col, need).select("row", "at", "t").mapInArrow(_cut(LEFT, SPAN), CONTEXT).where(F.length("ctx") >= SPAN)
-    large = stage(meet.where("kind = 1").groupBy("name").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP).select("name"), "large")
-    found = None
-    if not large.isEmpty():  # each name stands for more than GROUP rows, so these are few
-        contexts = stage(contexts, "contexts")
-        found = _windows(contexts.join(large, "name", "left_semi"))
-        contexts = contexts.join(large, "name", "left_anti")
-    settled = _settled(contexts)
-    found = settled if found is None else found.unionByName(settled)
-    sizes = single.select("row", "n")
-    # by row from here on: lists of positions, so that each joins where it is
-    whole = meet.where("kind = 0").groupBy("row").agg(F.collect_list(F.col("pos").cast("long")).alias("at")).join(sizes, "row")
-    wide = lambda p: F.struct(F.greatest(p - LEFT, F.lit(0).cast("long")).alias("start"), F.least(p + SPAN, F.col("n")).alias("end"))
-    whole = whole.select("row", F.filter(F.transform("at", wide), lambda s: s["end"] - s["start"] >= SPAN).alias("whole"))
-    parted = found.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("part"))
+    def contexts(wanted: DataFrame) -> DataFrame:
+        return _texts(docs, id_col, text_col, wanted).select("row", "at", "t").mapInArrow(_cut(LEFT, SPAN), CONTEXT).where(F.length("ctx") >= SPAN)
+
+    def parted(found: DataFrame) -> DataFrame:
+        return found.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("part"))
 
     @F.pandas_udf("array<struct<start:long,end:long>>")
     def merge(spans: pd.Series) -> pd.Series:
         return spans.map(lambda s: [{"start": a, "end": z} for a, z in _merged([(x["start"], x["end"]) for x in s])])
 
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    covered = whole.join(parted, "row", "full").select("row", merge(F.concat(F.coalesce("whole", none), F.coalesce("part", none))).alias("spans")).where(F.size("spans") > 0)
-    covered = stage(covered.join(single.where("copies = 1"), "row").select("id", "sha", "spans"), "covered")
+    wide = lambda p: F.struct(F.greatest(p - LEFT, F.lit(0).cast("long")).alias("start"), F.least(p + SPAN, F.col("n")).alias("end"))
+    covered = meet.where("copies = 1").select("row", "id", "sha", F.filter(F.transform("whole", wide), lambda s: s["end"] - s["start"] >= SPAN).alias("spans"))
+    rest = contexts(need)
+    if not large.isEmpty():  # each name stands for more than GROUP rows, so these are few
+        many = ones.join(large, "name", "left_semi").groupBy("row", "id", "sha").agg(F.collect_set(F.struct("pos", "name")).alias("at"))
+        found = _windows(contexts(stage(few(many), "many")))
+        found = stage(few(parted(found).select("row", merge("part").alias("part"))), "windows")
+        covered = covered.join(found, "row", "left").select("row", "id", "sha", F.concat("spans", F.coalesce("part", none)).alias("spans"))
+        rest = rest.join(large, "name", "left_anti")
+    covered = covered.join(parted(_settled(rest)), "row", "left").select("id", "sha", merge(F.concat("spans", F.coalesce("part", none))).alias("spans"))
+    covered = stage(few(covered.where(F.size("spans") > 0)), "covered")
 
     @F.pandas_udf("string")
     def digest(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -453,7 +467,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     kept = _texts(docs, id_col, text_col, covered).select("sha", "spans", digest("t", "spans").alias("kept_sha256"))
     all_ = single.where(f"copies > 1 and n >= {SPAN}").select("sha", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
-    result = stage(kept.unionByName(all_).dropDuplicates(["sha"]), "kept")
+    result = stage(few(kept.unionByName(all_).dropDuplicates(["sha"])), "kept")
     out = scan.select("id", "n", "sha").join(result, "sha", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), F.coalesce("spans", none).alias("spans"), F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"))
 

@@ -398,6 +398,30 @@ def test_repeats(spark, monkeypatch, group):
             assert hashlib.sha256(repeats.without_repeats(b, [(s["start"], s["end"]) for s in r.spans])).hexdigest() == r.kept_sha256
 
 
+def test_repeats_go_to_few_files(spark, monkeypatch):
+    """What is written as short rows doesn't get a file for each partition of a shuffle, and surroundings are not written."""
+    written = []
+    monkeypatch.setattr(repeats, "stage", lambda df, name, f=repeats.stage: (written.append((name, f(df, name))), written[-1][1])[1])
+    monkeypatch.setattr(repeats, "GROUP", 2)
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    rng = random.Random(7)
+    p, *own = ("".join(rng.choice("abcdefgh") for _ in range(300)) for _ in range(41))
+    docs = own + [x[:150] + p[:200] + x[150:] for x in own] + [p, p, None, "short"]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = repeats.repeated_spans(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    want = brute_repeats([(t or "").encode() for t in docs])
+    assert {r.doc_id: (r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), r.kept_sha256) for r in got} == dict(enumerate(want))
+    files = {name: len(df.inputFiles()) for name, df in written}
+    assert "contexts" not in files and {"meetings", "large", "many", "windows", "covered", "kept"} <= set(files), files
+    assert all(n <= 4 for n in files.values()), files
+
+
 def brute_groups(texts):
     """Strings of all pairs of places that agree for 200 bytes and neither way further, with their places."""
     at = {}
