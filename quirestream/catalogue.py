@@ -19,6 +19,7 @@ from quirestream.operators import layout as L
 from quirestream.operators import ocr as O
 from quirestream.operators import page_tables as P
 from quirestream.plans.convert import convert_pages
+from quirestream.plans.staging import stage
 from quirestream.sources import plain
 from quirestream.sources.files import audit, output_names, route
 from quirestream.sources.html import read_html
@@ -460,9 +461,9 @@ S_WORDS = r"""raw AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+')
     words AS (SELECT doc_id, CAST(i // 270 + 1 AS INT) AS page, CAST(i % 270 AS INT) AS word_ord, text, (40.0 + (i % 270 % 9) * 58.0)::DOUBLE AS x0, ((i % 270 // 9) * 14.0 + (i * 7 % 4) * 0.9)::DOUBLE AS top FROM flat)"""
 
 
-def _boxes(spark: SparkSession, d: str) -> DataFrame:
+def _boxes(spark: SparkSession, d: str, pages: DataFrame | None = None) -> DataFrame:
     """Three boxes a page; the third holds the first."""
-    pages = _pages(spark, d).select("doc_id", "page").distinct()
+    pages = _pages(spark, d).select("doc_id", "page").distinct() if pages is None else pages
     box = lambda k, *v: F.struct(F.lit(k).alias("tbl_ord"), *(F.lit(float(x)).alias(n) for n, x in zip(("x0", "top", "x1", "bottom"), v, strict=True)))
     return pages.select("doc_id", "page", F.explode(F.array(box(0, 90, 50, 300, 120), box(1, 300, 200, 500, 260), box(2, 80, 40, 320, 130))).alias("b")).select("doc_id", "page", "b.*")
 
@@ -612,13 +613,13 @@ def q46_word_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q47_pages_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Whole laid-out documents: words, table candidates and pages to Markdown."""
-    # pages are dealt whole, before their words become rows: rows of words are more bytes to shuffle
-    pages = _pages(spark, d)
-    words = pages.repartition("doc_id", "page").select("doc_id", "page", F.posexplode("texts").alias("at", "text"))
+    # pages are dealt whole and as text, before their words become rows: rows or arrays of words are more bytes to shuffle
+    pages = _pages(spark, d).select("doc_id", "page", F.array_join("texts", " ").alias("text"))
+    words = pages.repartition("doc_id", "page").select("doc_id", "page", F.posexplode(F.split("text", " ")).alias("at", "text"))
     words = _laid_out(words.select("doc_id", ((F.col("page") - 1) * 270 + F.col("at")).alias("i"), "text", "page"), F.col("page"))
     grid = F.array(*[F.array(*[F.concat(F.lit(f"{r}.{c} "), F.col("doc_id").cast("string")) for c in range(4)]) for r in range(3)])
-    boxes = _boxes(spark, d).withColumn("rows", grid)
-    return convert_pages(words, boxes, pages.select("doc_id", "page").distinct())
+    numbers = stage(pages.select("doc_id", "page").distinct(), "pages")
+    return convert_pages(words, _boxes(spark, d, numbers).withColumn("rows", grid), numbers)
 
 
 @query()

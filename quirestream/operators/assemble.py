@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 
 from quirestream.config import DEFAULT, Config
 from quirestream.functions.markdown import element
-from quirestream.functions.text import heading_text, join_lines, key_value_rows, strip, syllabus_items
-from quirestream.operators.layout import furniture_labels
+from quirestream.functions.tables import polish
+from quirestream.functions.text import heading_text, join_lines, key_value_rows, let, strip, syllabus_items
+from quirestream.operators.layout import furniture_label, furniture_labels
 
 PIECES = "doc_id long, page int, piece_ord int, kind string, level int, bold boolean, parts array<array<string>>"
 _NUMBERED = re.compile(r"\d+[.)]\s")
@@ -20,6 +21,8 @@ _ENDS = (".", ":", ";", "?", "!")
 
 
 def _bullet(text: str, marks: tuple[str, ...]) -> str | None:
+    if not text.startswith(marks):
+        return None
     for m in marks:
         if text.startswith(m + " ") and (rest := text[len(m) :].strip()):
             return rest
@@ -106,3 +109,34 @@ def pieces_to_elements(made: DataFrame, lang: Column, config: Config = DEFAULT)
     made_ = F.when(F.col("kind") == "heading", element("heading", level=F.col("level"), text=t)).when(F.col("kind") == "table", element("table", rows=F.col("parts"))).when(F.col("kind") == "list", element("list", items=joined())).otherwise(para)
     out = named.withColumn("element", made_).withColumn("elem_ord", F.col("piece_ord")).drop("__text", "__lang", "__after", "__items", "__table")
     return furniture_labels(out, config)
+
+
+def page_elements(page: Column, lang: Column, config: Config = DEFAULT) -> Column:
+    """Elements of a page from its ``page`` of pieces (an array in order: kind, level, bold, joined, parts), as
+    ``pieces_to_elements`` has them as rows; tables that were joined across pages are polished."""
+
+    def text(p: Column) -> Column:
+        heading = F.array_join(F.transform(p["parts"], lambda x: heading_text(F.get(x, 0), p["level"], lang, config)), " ")
+        return F.when(p["kind"] == "heading", strip(heading)).when(p["kind"] == "paragraph", join_lines(F.get(p["parts"], 0), config))
+
+    def made(p: Column, before: Column) -> Column:
+        t = p["text"]
+        after = F.coalesce(F.when(before["kind"] == "heading", F.lower(strip(before["text"]))), F.lit(""))
+        items = F.when(after.isin(list(config.bullet_trigger_headings)), syllabus_items(t, config))
+        table = F.when(F.contains(t, F.lit(":")), key_value_rows(t, lang, config))
+        plain = element("paragraph", text=t, strong=p["bold"] & F.lit(config.mark_bold))
+        turned = lambda i: F.when(i.isNotNull(), element("list", items=i)).otherwise(let(table, lambda k: F.when(k.isNotNull(), element("table", rows=k)).otherwise(plain)))
+        rows = F.when(p["joined"], polish(p["parts"], config)).otherwise(p["parts"])
+        return (
+            F.when(p["kind"] == "heading", element("heading", level=p["level"], text=t)).when(p["kind"] == "table", element("table", rows=rows))
+            .when(p["kind"] == "list", element("list", items=F.transform(p["parts"], lambda x: join_lines(x, config)))).otherwise(let(items, turned))
+        )
+
+    def elements(ps: Column) -> Column:
+        return F.transform(ps, lambda p, i: made(p, F.get(ps, i - 1)))
+
+    texts = F.transform(page, lambda p: F.struct(p["kind"].alias("kind"), p["level"].alias("level"), p["bold"].alias("bold"), p["joined"].alias("joined"), p["parts"].alias("parts"), text(p).alias("text")))
+    out = let(texts, elements)
+    if not config.remove_furniture:
+        return out
+    return let(out, lambda es: F.when(F.coalesce(furniture_label(F.get(es, 0), config) & (F.get(es, 1)["kind"] == "heading"), F.lit(False)), F.slice(es, F.lit(2), F.size(es))).otherwise(es))

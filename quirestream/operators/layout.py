@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirestream.config import DEFAULT, Config
-from quirestream.functions.text import line_key, strip
+from quirestream.functions.text import is_all_caps, line_key, rstrip, strip
 
 PAGE = ["doc_id", "page"]
 
@@ -148,15 +148,17 @@ def without_duplicate_glyphs(chars: DataFrame, config: Config = DEFAULT) -> Data
     return chars.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def furniture_label(e: Column, config: Config = DEFAULT) -> Column:
+    """Whether an element is a short label in capitals."""
+    words = F.size(F.filter(F.split(e["text"], r"\s+"), lambda x: x != ""))
+    return (e["kind"] == "paragraph") & e["spans"].isNull() & words.between(1, config.furniture_max_words) & ~F.endswith(rstrip(e["text"]), F.lit(".")) & is_all_caps(e["text"])
+
+
 def furniture_labels(elements: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """``elements`` (doc_id, page, elem_ord, element) without short labels in capitals that
     open a page right before a heading."""
     if not config.remove_furniture:
         return elements
     w = Window.partitionBy(*PAGE).orderBy("elem_ord")
-    e = F.col("element")
-    words = F.size(F.filter(F.split(e["text"], r"\s+"), lambda x: x != ""))
-    from quirestream.functions.text import is_all_caps, rstrip
-
-    label = (F.row_number().over(w) == 1) & (e["kind"] == "paragraph") & e["spans"].isNull() & words.between(1, config.furniture_max_words) & ~F.endswith(rstrip(e["text"]), F.lit(".")) & is_all_caps(e["text"]) & (F.lead("element.kind").over(w) == "heading")
+    label = (F.row_number().over(w) == 1) & furniture_label(F.col("element"), config) & (F.lead("element.kind").over(w) == "heading")
     return elements.withColumn("__drop", F.coalesce(label, F.lit(False))).where("not __drop").drop("__drop")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from quirestream.config import DEFAULT, Config
 from quirestream.functions.markdown import join_parts, render_element, render_sections
-from quirestream.functions.text import decode_bytes, detect_language, normalize_unicode, strip, strip_private
+from quirestream.functions.text import decode_bytes, normalize_unicode, strip, strip_private
 from quirestream.operators import assemble, layout, ocr, page_tables
+from quirestream.operators.documents import documents_to_pieces
 from quirestream.operators.guards import bad_signature, error_columns, too_large, zip_index, zip_verdict
+from quirestream.operators.lines import LINES, words_to_page_lines
 from quirestream.plans.staging import stage
 from quirestream.sources import office, plain
 from quirestream.sources.files import route
@@ -108,39 +110,28 @@ def _recognised_lines(words: DataFrame, tables: DataFrame, lines: DataFrame, ima
 def convert_pages(words: DataFrame, boxes: DataFrame, pages: DataFrame, config: Config = DEFAULT, *, images: DataFrame | None = None, recognised: DataFrame | None = None) -> DataFrame:
     """doc_id, markdown and error_code from the words, table candidates and pages of laid-out
     documents: tables are chosen and joined across pages, repeated lines go, headings are
-    found by size, blocks become elements, elements Markdown. Lines are used several times over,
-    so each of their states is written once. Documents of more than ``pdf_max_pages`` pages
-    are refused.
+    found by size, blocks become elements, elements Markdown. Words become lines page by page, and
+    from there each document is one fold over its pages, so lines are dealt once and never written.
+    Documents of more than ``pdf_max_pages`` pages are refused.
 
     ``images`` (doc_id, page, img_ord, x0, top, x1, bottom; ``pages`` then has width and height):
     large ones without words give the words of ``recognised`` (doc_id, page, img_ord, ord, text,
     conf, block_num, par_num, line_num; img_ord null: the whole page) or a notice. What an image
     takes, if it has ``seconds``, counts against the budget of its document."""
-    long = stage(pages.groupBy("doc_id").agg(F.countDistinct("page").alias("n")).where(F.col("n") > config.pdf_max_pages).select("doc_id"), "refused")
+    counts = stage(pages.groupBy("doc_id").agg(F.countDistinct("page").alias("pages")), "counts")
+    long = stage(counts.where(F.col("pages") > config.pdf_max_pages).select("doc_id"), "refused")
     within = lambda df: df.join(long, "doc_id", "left_anti")
     words, boxes, pages = within(words), within(boxes), within(pages)
     tables = stage(page_tables.select_tables(boxes, config).where("verdict = 'accepted'"), "tables")
     outside = layout.words_outside_tables(words, tables)
-    lines = stage(layout.lines_to_paragraphs(layout.words_to_lines(outside, config)), "lines")
+    lines = words_to_page_lines(outside, config)
     if images is not None:
-        more = _recognised_lines(outside, tables, lines, within(images), pages, None if recognised is None else within(recognised), config)
-        lines = stage(lines.select(*[F.col(c).cast(more.schema[c].dataType) for c in more.columns]).unionByName(more), "lines")
-    # blocks in order of height, text before tables at one height
-    text = lines.groupBy("doc_id", "page", "block_ord").agg(F.min("top").alias("top")).select("doc_id", "page", F.lit("text").alias("kind"), "block_ord", "top", F.lit(None).cast("array<array<string>>").alias("rows"))
-    found = tables.select("doc_id", "page", F.lit("table").alias("kind"), F.col("tbl_ord").alias("block_ord"), "top", "rows")
-    order = F.row_number().over(layout.Window.partitionBy("doc_id", "page").orderBy("top", F.col("kind") == "table", "own_ord")) - 1
-    blocks = text.unionByName(found).withColumnRenamed("block_ord", "own_ord").withColumn("block_ord", order.cast("int"))
-    grown = page_tables.merge_across_pages(blocks, config)
-    kept = stage(layout.remove_repeated(lines, pages, config).where(~layout.is_junk(F.col("text"), config)), "kept")
-    kept = stage(layout.assign_headings(kept, config), "headed")
-    lang = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "top", "line_ord", "text"))), lambda x: x["text"]), " ").alias("t")).select("doc_id", detect_language(F.col("t")).alias("language"))
-    each = kept.groupBy("doc_id", "page", F.col("block_ord").alias("own_ord")).agg(F.array_sort(F.collect_list(F.struct("top", "line_ord", "text", F.col("heading_level").alias("level"), "bold"))).alias("lines"))
-    texts = blocks.where("kind = 'text'").select("doc_id", "page", "own_ord", "block_ord").join(each, ["doc_id", "page", "own_ord"])
-    texts = texts.select("doc_id", "page", "block_ord", F.lit("text").alias("kind"), "lines", F.lit(None).cast("array<array<string>>").alias("rows"))
-    lined = grown.where("kind = 'table'").select("doc_id", "page", "block_ord", "kind", F.lit(None).cast(texts.schema["lines"].dataType).alias("lines"), "rows")
-    made = assemble.blocks_to_pieces(texts.unionByName(lined), config).join(lang, "doc_id", "left")
-    elements = assemble.pieces_to_elements(made, F.coalesce("language", F.lit("es")), config)
-    part = render_element(F.col("element"), F.coalesce(F.col("language"), F.lit("es")), config)
-    parts = elements.withColumn("part", part).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "elem_ord", "part"))), lambda x: x["part"]).alias("parts"))
-    done = parts.select("doc_id", join_parts(F.col("parts")).alias("markdown"), F.lit(None).cast("string").alias("error_code"))
+        flat = stage(lines.select("doc_id", "page", F.inline("lines")), "lines")
+        more = _recognised_lines(outside, tables, flat, within(images), pages, None if recognised is None else within(recognised), config)
+        order = ["line_ord", "text", "size", "bold", "top", "x0", "block_ord"]
+        lines = flat.unionByName(more).groupBy("doc_id", "page").agg(F.collect_list(F.struct(*order)).cast(LINES).alias("lines"))
+    made = documents_to_pieces(lines, tables, within(counts), config)
+    part = lambda e: render_element(e, F.col("language"), config)
+    parts = F.flatten(F.transform("pages", lambda p: F.transform(assemble.page_elements(p, F.col("language"), config), part)))
+    done = made.select("doc_id", join_parts(parts).alias("markdown"), F.lit(None).cast("string").alias("error_code"))
     return done.unionByName(long.select("doc_id", F.lit(None).cast("string").alias("markdown"), F.lit("INFRA_FILE_TOO_LARGE").alias("error_code")))
