@@ -618,7 +618,9 @@ def q47_pages_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     words = pages.repartition("doc_id", "page").select("doc_id", "page", F.posexplode(F.split("text", " ")).alias("at", "text"))
     words = _laid_out(words.select("doc_id", ((F.col("page") - 1) * 270 + F.col("at")).alias("i"), "text", "page"), F.col("page"))
     grid = F.array(*[F.array(*[F.concat(F.lit(f"{r}.{c} "), F.col("doc_id").cast("string")) for c in range(4)]) for r in range(3)])
-    numbers = stage(pages.select("doc_id", "page").distinct(), "pages")
+    size = F.regexp_count("text", F.lit(r"\S+"))
+    numbers = read(spark, d, "documents").select("doc_id", F.ceil(size / 270).cast("int").alias("pages")).where("pages > 0")
+    numbers = stage(numbers.select("doc_id", F.explode(F.sequence(F.lit(1), "pages")).alias("page")).distinct(), "pages")
     return convert_pages(words, _boxes(spark, d, numbers).withColumn("rows", grid), numbers)
 
 

@@ -110,7 +110,10 @@ def _render_element(e: Column, lang: Column, config: Config) -> Column:
 
 def join_parts(parts: Column) -> Column:
     """Rendered parts as a document: blank lines between, no more than one, a line end last."""
-    return F.concat(strip(F.regexp_replace(F.array_join(F.filter(parts, lambda p: p != ""), "\n\n"), r"\n{3,}", "\n\n")), F.lit("\n"))
+    single = lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    bare = lambda t: F.when(F.rlike(ends(t), F.lit(SPACE)), strip(t)).otherwise(t)
+    return let(F.array_join(F.filter(parts, lambda p: p != ""), "\n\n"), lambda t: F.concat(let(single(t), bare), F.lit("\n")))
 
 
 def render_sections(sections: Column, lang: Column | str = "es", config: Config = DEFAULT) -> Column:

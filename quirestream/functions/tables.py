@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirestream.config import DEFAULT, Config
-from quirestream.functions.text import clean_text, let, strip
+from quirestream.functions.text import clean_cell, let, strip
 
 #: Numbers as text, scores, separator dashes.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -138,7 +138,7 @@ def clean_csv(rows: Column, config: Config = DEFAULT) -> Column:
 
 def tidy(rows: Column, config: Config = DEFAULT) -> Column:
     """A table found on a page: cells cleaned, empty lines gone."""
-    return trim_empty(F.transform(rows, lambda r: F.transform(r, lambda c: clean_text(F.coalesce(c, F.lit("")), config))))
+    return trim_empty(F.transform(rows, lambda r: F.transform(r, lambda c: F.coalesce(clean_cell(c, config), F.lit("")))))
 
 
 def _lengths(rows: Column) -> Column:
@@ -199,7 +199,8 @@ def join_split_words(cell: Column, config: Config = DEFAULT) -> Column:
         )
         return F.when(glue, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(prev, tok)))).otherwise(F.concat(out, F.array(tok)))
 
-    return F.array_join(F.aggregate(F.split(cell, " ", -1), F.array().cast("array<string>"), lambda o, t: F.when(F.size(o) == 0, F.array(t)).otherwise(add(o, t))), " ")
+    joined = F.array_join(F.aggregate(F.split(cell, " ", -1), F.array().cast("array<string>"), lambda o, t: F.when(F.size(o) == 0, F.array(t)).otherwise(add(o, t))), " ")
+    return F.when(F.rlike(cell, F.lit(r"\p{Ll} \p{Ll}")), joined).otherwise(cell)  # else nothing can be glued
 
 
 def is_score_row(row: Column, config: Config = DEFAULT) -> Column:

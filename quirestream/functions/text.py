@@ -83,6 +83,17 @@ def punctuation_spacing(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+([,.;:!?)\]»])", "$1"), r"([(\[«])[ \t]+", "$1")
 
 
+#: What cleaning may change: text without it stays as it is.
+UNCLEAN = r"[^ -~]|  |\A | \z|\(cid:| [,.;:!?)\]]|[(\[] "
+
+
+def clean_cell(text: Column, config: Config = DEFAULT) -> Column:
+    """``clean_text`` of a short text that is often clean (a column or variable, since it is named three times)."""
+    if config.pua_start <= 0x7E:
+        return clean_text(text, config)
+    return F.when(F.rlike(text, F.lit(UNCLEAN)), clean_text(text, config)).otherwise(text)
+
+
 def collapse_blank(text: Column) -> Column:
     return F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
 
@@ -170,16 +181,17 @@ def syllabus_items(text: Column, config: Config = DEFAULT) -> Column:
     return let(items, lambda i: F.when((F.size(i) >= 2) & F.lit(config.temario_to_bullets), i))
 
 
-def join_lines(lines: Column, config: Config = DEFAULT) -> Column:
-    """Lines as one text; a hyphen before a small letter vanishes with the line end."""
+def join_lines(lines: Column, config: Config = DEFAULT, stripped: bool = False) -> Column:
+    """Lines as one text; a hyphen before a small letter vanishes with the line end. ``stripped``: they have no white space at their ends."""
+    lines = lines if stripped else F.transform(lines, strip)
     if not config.join_lines:
-        return punctuation_spacing(F.array_join(F.transform(lines, strip), "\n"))
+        return punctuation_spacing(F.array_join(lines, "\n"))
 
     def add(raw: Column, t: Column) -> Column:
         broken = F.endswith(raw, F.lit("-")) & F.rlike(t, F.lit(r"^\p{Ll}"))
         return F.when(raw.isNull(), t).when(broken, F.concat(F.substring(raw, F.lit(1), F.length(raw) - 1), t)).otherwise(F.concat(raw, F.lit(" "), t))
 
-    return punctuation_spacing(F.coalesce(F.aggregate(F.transform(lines, strip), F.lit(None).cast("string"), add), F.lit("")))
+    return punctuation_spacing(F.coalesce(F.aggregate(lines, F.lit(None).cast("string"), add), F.lit("")))
 
 
 def decode_bytes(content: Column) -> Column:

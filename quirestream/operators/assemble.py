@@ -113,23 +113,23 @@ def pieces_to_elements(made: DataFrame, lang: Column, config: Config = DEFAULT)
 
 def page_elements(page: Column, lang: Column, config: Config = DEFAULT) -> Column:
     """Elements of a page from its ``page`` of pieces (an array in order: kind, level, bold, joined, parts), as
-    ``pieces_to_elements`` has them as rows; tables that were joined across pages are polished."""
+    ``pieces_to_elements`` has them as rows; lines come without white space at their ends, tables that were joined across pages are polished."""
 
     def text(p: Column) -> Column:
         heading = F.array_join(F.transform(p["parts"], lambda x: heading_text(F.get(x, 0), p["level"], lang, config)), " ")
-        return F.when(p["kind"] == "heading", strip(heading)).when(p["kind"] == "paragraph", join_lines(F.get(p["parts"], 0), config))
+        return F.when(p["kind"] == "heading", strip(heading)).when(p["kind"] == "paragraph", join_lines(F.get(p["parts"], 0), config, stripped=True))
 
     def made(p: Column, before: Column) -> Column:
         t = p["text"]
         after = F.coalesce(F.when(before["kind"] == "heading", F.lower(strip(before["text"]))), F.lit(""))
         items = F.when(after.isin(list(config.bullet_trigger_headings)), syllabus_items(t, config))
-        table = F.when(F.contains(t, F.lit(":")), key_value_rows(t, lang, config))
+        table = F.when(F.contains(t, F.lit(":")) & F.rlike(t, F.lit(r"\d\.\d")), key_value_rows(t, lang, config))
         plain = element("paragraph", text=t, strong=p["bold"] & F.lit(config.mark_bold))
         turned = lambda i: F.when(i.isNotNull(), element("list", items=i)).otherwise(let(table, lambda k: F.when(k.isNotNull(), element("table", rows=k)).otherwise(plain)))
         rows = F.when(p["joined"], polish(p["parts"], config)).otherwise(p["parts"])
         return (
             F.when(p["kind"] == "heading", element("heading", level=p["level"], text=t)).when(p["kind"] == "table", element("table", rows=rows))
-            .when(p["kind"] == "list", element("list", items=F.transform(p["parts"], lambda x: join_lines(x, config)))).otherwise(let(items, turned))
+            .when(p["kind"] == "list", element("list", items=F.transform(p["parts"], lambda x: join_lines(x, config, stripped=True)))).otherwise(let(items, turned))
         )
 
     def elements(ps: Column) -> Column:

@@ -162,6 +162,13 @@ def _demote(levels: list[int], config: Config) -> None:
         levels[:end] = [min(base + k, config.heading_max_levels) for k in range(end)]
 
 
+def _short(piece: dict, config: Config) -> dict:
+    """Lines of paragraphs and items as one where no hyphen can vanish between them: fewer texts to hand over."""
+    if config.join_lines and piece["kind"] in ("paragraph", "list"):
+        piece["parts"] = [x if len(x) < 2 or any(t.endswith("-") for t in x) else [" ".join(x)] for x in piece["parts"]]
+    return piece
+
+
 def pieces_of(pages: dict[int, tuple[list, list]], count: int | None, config: Config) -> tuple[str, list[list[dict]]]:
     """Language and pieces of each page; ``pages`` (in order): lines and tables (tbl_ord, top, rows)."""
     gone = repeated(pages, count, config)
@@ -197,5 +204,5 @@ def pieces_of(pages: dict[int, tuple[list, list]], count: int | None, config: Co
             continue
         joined = iter([bool(b.get("joined")) for b in own if b["kind"] == "table"])
         found = page_pieces([(b["kind"], b["rows"] if b["kind"] == "table" else b["lines"]) for b in own], config)
-        made.append([x | {"joined": x["kind"] == "table" and next(joined)} for x in found])
+        made.append([_short(x, config) | {"joined": x["kind"] == "table" and next(joined)} for x in found])
     return language, [page for page in made if page]
