@@ -431,7 +431,7 @@ def q31_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages of documents: 270 words each, as an array."""
-    docs = read(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("all")).where("size(all) > 0")
+    docs = read(spark, d, "documents").select("doc_id", F.array_remove(F.split("text", r"\s+"), "").alias("all")).where("size(all) > 0")
     at = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / 270).cast("int"))
     return docs.select("doc_id", F.explode(F.transform(at, lambda p: F.struct((p + 1).alias("page"), F.slice("all", p * 270 + 1, 270).alias("texts")))).alias("p")).select("doc_id", "p.page", "p.texts")
 
@@ -613,14 +613,13 @@ def q46_word_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q47_pages_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Whole laid-out documents: words, table candidates and pages to Markdown."""
-    # pages are dealt whole and as text, before their words become rows: rows or arrays of words are more bytes to shuffle
-    pages = _pages(spark, d).select("doc_id", "page", F.array_join("texts", " ").alias("text"))
-    words = pages.repartition("doc_id", "page").select("doc_id", "page", F.posexplode(F.split("text", " ")).alias("at", "text"))
+    # pages of 270 words are cut and dealt as text, before their words become rows: rows or arrays of words are more bytes to shuffle
+    cut = F.regexp_extract_all("text", F.lit(r"(?:\S++\s++){0,269}\S++"), F.lit(0))
+    pages = read(spark, d, "documents").select("doc_id", F.posexplode(cut).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page"), "text")
+    words = pages.repartition("doc_id", "page").select("doc_id", "page", F.posexplode(F.split("text", r"\s+")).alias("at", "text"))
     words = _laid_out(words.select("doc_id", ((F.col("page") - 1) * 270 + F.col("at")).alias("i"), "text", "page"), F.col("page"))
     grid = F.array(*[F.array(*[F.concat(F.lit(f"{r}.{c} "), F.col("doc_id").cast("string")) for c in range(4)]) for r in range(3)])
-    size = F.regexp_count("text", F.lit(r"\S+"))
-    numbers = read(spark, d, "documents").select("doc_id", F.ceil(size / 270).cast("int").alias("pages")).where("pages > 0")
-    numbers = stage(numbers.select("doc_id", F.explode(F.sequence(F.lit(1), "pages")).alias("page")).distinct(), "pages")
+    numbers = stage(pages.select("doc_id", "page").distinct(), "pages")
     return convert_pages(words, _boxes(spark, d, numbers).withColumn("rows", grid), numbers)
 
 

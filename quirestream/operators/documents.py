@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from decimal import ROUND_HALF_EVEN, Decimal
 from functools import lru_cache, partial
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,9 +26,10 @@ PIECE = "struct<kind:string,level:int,bold:boolean,joined:boolean,parts:array<ar
 _ROWS = pa.list_(pa.list_(pa.string()))
 _PAGES = pa.list_(pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("bold", pa.bool_()), ("joined", pa.bool_()), ("parts", _ROWS)])))
 #: Of a line: its place in the tuple.
-ORD, TEXT, SIZE, BOLD, TOP, BLOCK = 0, 1, 2, 3, 4, 6
+ORD, TEXT, SIZE, BOLD, TOP, BLOCK = range(6)
 _DIGITS, _NUMBERED, _WORD = re.compile(r"\d+"), re.compile(r"\d+[.)]\s", re.ASCII), re.compile(LANGUAGE_WORD)
 _ES, _EN = frozenset(STOP_ES), frozenset(STOP_EN)
+_PLACE = itemgetter(TOP, ORD, TEXT)
 
 
 def documents_to_pieces(lines: DataFrame, tables: DataFrame, counts: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -46,7 +48,8 @@ def documents_to_pieces(lines: DataFrame, tables: DataFrame, counts: DataFrame,
 def _entries(batch: pa.RecordBatch) -> Iterator[tuple]:
     """doc_id, page, lines (tuples), table (tbl_ord, top, rows) and number of pages of each row."""
     lines = batch.column("lines")
-    flat = list(zip(*(c.to_pylist() for c in lines.flatten().flatten()), strict=True))
+    fields = [c.to_pylist() for i, c in enumerate(lines.flatten().flatten()) if i != 5]  # x0 decides nothing
+    flat = list(zip(*fields, strict=True))
     sizes = lines.value_lengths().to_pylist()
     columns = [batch.column(c).to_pylist() for c in ("doc_id", "page", "tbl_ord", "top", "rows", "pages")]
     at = 0
@@ -130,10 +133,10 @@ def levels_of(kept: dict[int, list[tuple]], config: Config) -> dict[int, list[in
         return {p: [0] * len(lines) for p, lines in kept.items()}
     n, first = Counter(), {}
     for p, lines in kept.items():
-        for x in lines:
-            s = rounded(x[SIZE])
-            n[s] += 1
-            first[s] = min(first.get(s, (p, x[ORD])), (p, x[ORD]))
+        own = [rounded(x[SIZE]) for x in lines]
+        n.update(own)
+        for s in set(own) - first.keys():
+            first[s] = p, min(x[ORD] for x, t in zip(lines, own, strict=True) if t == s)
     body = min(n, key=lambda s: (-n[s], first[s]), default=None)
     large = sorted((s for s in n if s is not None and body is not None and s >= config.heading_size_ratio * body), reverse=True)[: config.heading_max_levels]
     levels = {s: i for i, s in enumerate(large, 1)}
@@ -143,8 +146,10 @@ def levels_of(kept: dict[int, list[tuple]], config: Config) -> dict[int, list[in
         own = out[p] = []
         for x in lines:
             level = levels.get(rounded(x[SIZE]))
-            if level is None:
-                plain = x[TEXT].strip() if x[BOLD] else ""
+            if level is None and not x[BOLD]:
+                level = 0
+            elif level is None:
+                plain = x[TEXT].strip()
                 named = 1 <= len(plain) <= config.heading_short_line_max_len and not plain.endswith(".") and (plain.endswith(":") or _NUMBERED.match(plain))
                 level = looks if named else 0
             own.append(level)
@@ -174,21 +179,23 @@ def pieces_of(pages: dict[int, tuple[list, list]], count: int | None, config: Co
     gone = repeated(pages, count, config)
     kept = {}
     for p, (lines, _) in pages.items():
-        own = [x for x in lines if not (len(plain := x[TEXT].strip()) <= config.junk_line_max_len and not plain.startswith(config.bullet_markers))]
+        own = [x for x in lines if len(plain := x[TEXT].strip()) > config.junk_line_max_len or plain.startswith(config.bullet_markers)]
         if gone:
             own = [x for x in own if line_key(x[TEXT]) not in gone]
-        kept[p] = sorted(own, key=_height)
+        try:
+            kept[p] = sorted(own, key=_PLACE)
+        except TypeError:  # some have no height
+            kept[p] = sorted(own, key=_height)
     levels = levels_of(kept, config)
-    language = language_of(" ".join([x[TEXT] for lines in kept.values() for x in lines]))
+    language = language_of(" ".join(x[TEXT] for lines in kept.values() for x in lines))
     # blocks in order of height, text before tables at one height
     blocks = []
     for p, (lines, tables) in pages.items():
         tops: dict[int, float] = {}
         for x in lines:
-            if x[TOP] is not None:
-                tops[x[BLOCK]] = min(tops.get(x[BLOCK], x[TOP]), x[TOP])
-            else:
-                tops.setdefault(x[BLOCK], math.inf)
+            top = math.inf if x[TOP] is None else x[TOP]
+            if top < tops.get(x[BLOCK], math.inf) or x[BLOCK] not in tops:
+                tops[x[BLOCK]] = top
         held = defaultdict(list)
         for x, level in zip(kept[p], levels[p], strict=True):
             held[x[BLOCK]].append((x[TEXT], level, x[BOLD]))
